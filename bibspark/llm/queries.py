@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import chat, mixing, sharding, url_filter
+from bibspark.llm import chat, mixing, sharding, simhash, url_filter
 from bibspark.llm.common import table
 
 URL_RULES = [
@@ -26,6 +26,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and read back from the windows."""
     odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
@@ -51,6 +57,7 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op4_simhash_gph": op4_simhash_gph,
     "op5_chat_windows": op5_chat_windows,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_mix_flow": op10_mix_flow,
