@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bibspark.staging import shared_dir, staged  # noqa: F401
 
@@ -30,3 +31,8 @@ def word_count(text: Column) -> Column:
     """The number of words of a text as a long; 0 for null."""
     kept = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACES}+|{SPACES}+$", "")
     return F.when(kept == "", F.lit(0)).otherwise(F.size(F.split(kept, SPACES + "+"))).cast("long")
+
+
+def schema_with(df: DataFrame, more: str) -> StructType:
+    """The frame's schema and further fields, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

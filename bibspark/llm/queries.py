@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import chat, mixing, sharding, simhash, url_filter
+from bibspark.llm import chat, decontaminate, mixing, sharding, simhash, token_output, toxicity, url_filter
 from bibspark.llm.common import table
 
 URL_RULES = [
@@ -20,6 +20,13 @@ URL_RULES = [
 ODD_TEXT = "\\### Assistant: </turn> ok"
 
 
+def op1_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    documents = table(spark, sf_dir, "documents")
+    found = toxicity.scored(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages against the fixed rules."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -39,6 +46,23 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary of the token queries, from the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids, written and read back."""
+    return token_output.checksums(token_output.encoded(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the benchmark in every document."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards."""
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
@@ -56,9 +80,12 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity_knn": op1_toxicity_knn,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_gph": op4_simhash_gph,
     "op5_chat_windows": op5_chat_windows,
+    "op6_token_parquet": op6_token_parquet,
+    "op7_decontaminate": op7_decontaminate,
     "op8_virtual_slots": op8_virtual_slots,
     "op10_mix_flow": op10_mix_flow,
 }

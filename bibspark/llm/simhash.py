@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import staged
+from bibspark.llm.common import schema_with, staged
 from bibspark.operators.components import connected_components
 
 BITS = 64
@@ -57,7 +57,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
             marks = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.record_batch([batch.column(0), pa.array(marks.view(np.int64))], names=["doc_id", "fp"])
 
-    schema = documents.select("doc_id").schema.add("fp", "long")
+    schema = schema_with(documents.select("doc_id"), "fp long")
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import staged
+from bibspark.llm.common import schema_with, staged
 
 #: Up to this many rules go to every task; more are range partitioned together with the urls.
 BROADCAST_RULES = 50_000
@@ -112,7 +112,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", partitions
     host, path = url_parts(F.col("url"))
     keyed = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("_key", host_key(F.col("host")))
     rules = rules.select("host", "path", "verdict").dropna()
-    out = keyed.drop("_key").schema.add("rule", "string").add("verdict", "string")
+    out = schema_with(keyed.drop("_key"), "rule string, verdict string")
     if rules.limit(broadcast_rules + 1).count() <= broadcast_rules:
         few = spark.sparkContext.broadcast([tuple(r) for r in rules.collect()])
 
