@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm import chat, decontaminate, mixing, sharding, simhash, token_output, toxicity, url_filter
+from bibspark.llm import chat, decontaminate, mixing, pu_quality, quality_rules, sharding, simhash, token_output, toxicity, url_filter
 from bibspark.llm.common import table
 
 URL_RULES = [
@@ -27,6 +27,11 @@ def op1_toxicity_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the base rules and its language's histograms."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every url of pages against the fixed rules."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -68,6 +73,13 @@ def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    documents = table(spark, sf_dir, "documents")
+    found = pu_quality.scored(documents, pu_quality.fit(documents, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("members"))
@@ -81,12 +93,14 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity_knn": op1_toxicity_knn,
+    "op2_quality_divergence": op2_quality_divergence,
     "op3_url_filter": op3_url_filter,
     "op4_simhash_gph": op4_simhash_gph,
     "op5_chat_windows": op5_chat_windows,
     "op6_token_parquet": op6_token_parquet,
     "op7_decontaminate": op7_decontaminate,
     "op8_virtual_slots": op8_virtual_slots,
+    "op9_pu_quality": op9_pu_quality,
     "op10_mix_flow": op10_mix_flow,
 }
 
