@@ -98,8 +98,10 @@ def min_cost_flow(sizes: dict[Pattern, int], quota: dict[str | None, float], rep
             room[e ^ 1] += pushed
 
 
-def mix(documents: DataFrame, members: str = "members", seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
-    """The documents with ``mix_size`` and ``mix_taken`` (words, repetitions counted).
+def mix(documents: DataFrame, members: str = "members", seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2, carry: bool = False) -> DataFrame:
+    """doc_id and members with ``mix_size`` and ``mix_taken`` (words, repetitions counted).
+
+    With ``carry`` all columns of the documents stay; without, the texts are read once only.
 
     ``members`` is an array column of source names; null names are a source of their own. Each
     document is taken a whole number of times: every document of a pattern as often as its flow
@@ -117,7 +119,10 @@ def mix(documents: DataFrame, members: str = "members", seed: int = 17, weights:
             "mix_draw": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
         }
     ).withColumn("mix_bin", F.pmod("mix_draw", F.lit(BINS)).cast("int"))
-    rows = staged(full.select("mix_size", "mix_members", "mix_draw", "mix_bin"), "mix-sizes")
+    narrow = ["doc_id", *([] if members == "doc_id" else [members])]
+    rows = staged(full.select(*narrow, "mix_size", "mix_members", "mix_draw", "mix_bin"), "mix-sizes")
+    if not carry:
+        full, documents = rows, rows.select(*narrow)
     found = rows.groupBy("mix_members").agg(F.sum("mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
