@@ -13,9 +13,9 @@ INDEX_WORDS = 8
 
 def lookup(references: DataFrame, catalogue: DataFrame, doi: str = "doi", out: str = "found") -> DataFrame:
     """References with the catalogue's work of the same DOI, or null; of several the least id's."""
-    works = catalogue.select(normalize_doi(F.col("work.doi")).alias("_doi"), F.col("work").alias(out)).where("_doi is not null")
-    first = works.groupBy("_doi").agg(F.min_by(out, F.col(f"{out}.id")).alias(out))
-    return references.join(first, F.col(doi) == F.col("_doi"), "left").drop("_doi")
+    works = catalogue.select(normalize_doi(F.col("work.doi")).alias("_of_doi"), F.col("work").alias(out)).where("_of_doi is not null")
+    first = works.groupBy("_of_doi").agg(F.min_by(out, F.col(f"{out}.id")).alias(out))
+    return references.join(first, F.col(doi) == F.col("_of_doi"), "left").drop("_of_doi")
 
 
 def search(references: DataFrame, catalogue: DataFrame, limit: int = 5, index_words: int = INDEX_WORDS) -> DataFrame:

@@ -24,6 +24,6 @@ def start(spark: SparkSession, folder: str, out: str, checkpoint: str, primary:
         for name, table in (("people", result.people), ("summary", result.summary)):
             table.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
-    texts = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_a_batch).text(folder)
+    texts = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(folder, wholetext=True)
     rows = texts.select(F.xxhash64("_metadata.file_path").alias("bib_id"), F.regexp_replace("value", "^﻿", "").alias("text"))
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
