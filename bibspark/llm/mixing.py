@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bibspark.llm.common import staged, word_count
@@ -98,31 +98,46 @@ def min_cost_flow(sizes: dict[Pattern, int], quota: dict[str | None, float], rep
             room[e ^ 1] += pushed
 
 
-def mix(documents: DataFrame, members: str = "members", seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2, carry: bool = False) -> DataFrame:
+def mix(documents: DataFrame, members: Column, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
     """doc_id and members with ``mix_size`` and ``mix_taken`` (words, repetitions counted).
 
-    With ``carry`` all columns of the documents stay; without, the texts are read once only.
-
-    ``members`` is an array column of source names; null names are a source of their own. Each
+    ``members`` is an array of source names; null names are a source of their own. Each
     document is taken a whole number of times: every document of a pattern as often as its flow
     fills the pattern, and once more those with the smallest seeded hashes until the rest is
     met. Only the hash bin in which the rest runs out is ordered, so no source meets in one
     task; what is still open there is filled by single documents that fit, largest first.
     Texts without words (null, empty) have size 0 and take nothing. Rows equal in id and text
-    are taken alike. An empty table gives no rows. Reruns give the same rows.
+    are taken alike. Other columns are ignored. An empty table gives no rows. Reruns give the
+    same rows. Texts are read once.
+    """
+    rows = documents.select("doc_id", F.col("text"), members.alias("members"))
+    return _mixed(rows, F.col("members"), False, seed, weights, share, repeats).select("doc_id", "members", "mix_size", "mix_taken")
+
+
+def repeated(documents: DataFrame, members: Column, seed: int = 17, weights: Sequence[float] = WEIGHTS, share: float = 1.5, repeats: int = 2) -> DataFrame:
+    """The mix as a corpus: each document as often as it is taken, none if never.
+
+    Columns are those of ``documents``, whatever their names; the rest is as for mix().
     """
+    rows = documents.select("doc_id", "text", members.alias("members"), F.struct(*documents.columns).alias("row"))
+    mixed = _mixed(rows, F.col("members"), True, seed, weights, share, repeats)
+    often = F.when(F.col("mix_size") > 0, (F.col("mix_taken") / F.col("mix_size")).cast("int")).otherwise(0)
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), often))).select("row.*")
+
+
+def _mixed(documents: DataFrame, members: Column, carry: bool, seed: int, weights: Sequence[float], share: float, repeats: int) -> DataFrame:
+    """The rows with mix_size and mix_taken; without ``carry`` only their narrow columns."""
     spark = documents.sparkSession
     full = documents.withColumns(
         {
             "mix_size": word_count(F.col("text")),
-            "mix_members": F.array_sort(F.array_distinct(F.coalesce(F.col(members), F.array().cast("array<string>")))),
+            "mix_members": F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>")))),
             "mix_draw": F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")),
         }
     ).withColumn("mix_bin", F.pmod("mix_draw", F.lit(BINS)).cast("int"))
-    narrow = ["doc_id", *([] if members == "doc_id" else [members])]
-    rows = staged(full.select(*narrow, "mix_size", "mix_members", "mix_draw", "mix_bin"), "mix-sizes")
+    rows = staged(full.select("doc_id", "members", "mix_size", "mix_members", "mix_draw", "mix_bin"), "mix-sizes")
     if not carry:
-        full, documents = rows, rows.select(*narrow)
+        full = rows
     found = rows.groupBy("mix_members").agg(F.sum("mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
@@ -182,18 +197,11 @@ def mix(documents: DataFrame, members: str = "members", seed: int = 17, weights:
     inside = full.where("mix_bin = mix_cut").join(chosen, ["mix_pattern", "mix_draw"], "left")
     full = full.where("mix_bin <> mix_cut").withColumn("mix_at", F.col("mix_bin") < F.col("mix_cut")).unionByName(inside)
     extra = F.coalesce(F.col("mix_at"), F.lit(False)) | F.coalesce(F.col("mix_pick"), F.lit(False))
-    full = full.withColumn("mix_taken", (F.col("mix_whole") + extra.cast("long")) * F.col("mix_size"))
-    return full.select(*documents.columns, "mix_size", "mix_taken")
-
-
-def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of mix() as a corpus: each document as often as it is taken, none if never."""
-    often = F.when(F.col("mix_size") > 0, (F.col("mix_taken") / F.col("mix_size")).cast("int")).otherwise(0)
-    return mixed.select(*columns, F.explode(F.array_repeat(F.lit(1), often)).alias("mix_copy")).drop("mix_copy")
+    return full.withColumn("mix_taken", (F.col("mix_whole") + extra.cast("long")) * F.col("mix_size"))
 
 
-def by_source(mixed: DataFrame, members: str = "members", weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, tuple[int, float]]:
+def by_source(mixed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, tuple[int, float]]:
     """Size and target of each source, from rows of mix(); as many as mix() has bounded."""
-    found = mixed.select("mix_size", F.explode(F.array_distinct(members)).alias("source")).groupBy("source").agg(F.sum("mix_size").alias("size")).collect()
+    found = mixed.select("mix_size", F.explode(F.array_distinct("members")).alias("source")).groupBy("source").agg(F.sum("mix_size").alias("size")).collect()
     sizes = {r["source"]: int(r["size"]) for r in found}
     return {s: (sizes[s], goal) for s, goal in targets(sizes, weights, share, most).items()} if sizes else {}

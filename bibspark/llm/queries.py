@@ -82,8 +82,7 @@ def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", F.array("source").alias("members"))
-    mixed = mixing.mix(documents)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     sizes = mixing.by_source(mixed)
     # one row for each source, which mix() has bounded
     info = F.broadcast(spark.createDataFrame([(s, size, goal) for s, (size, goal) in sizes.items()], "source string, source_size long, target double"))

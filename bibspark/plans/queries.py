@@ -153,10 +153,10 @@ def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.people(people.credited(person_keys(people.authorships(_marked(spark, sf_dir)))))
 
 
-@register(BASE + "SELECT bib_id, CAST(idx AS BIGINT) AS ref_index, status, CAST(duplicate_of AS BIGINT) AS duplicate_of, included FROM inc")
+@register(BASE + "SELECT bib_id, CAST(idx AS BIGINT) AS ref_index, status, coalesce(CAST(duplicate_of AS BIGINT), 0) AS duplicate_of, included FROM inc")
 def work_dedupe_first(spark, sf_dir):
     rows = _marked(spark, sf_dir)
-    return rows.select("bib_id", F.col("index").cast("long").alias("ref_index"), "status", F.col("duplicate_of").cast("long").alias("duplicate_of"), "included")
+    return rows.select("bib_id", F.col("index").cast("long").alias("ref_index"), "status", F.coalesce(F.col("duplicate_of").cast("long"), F.lit(0)).alias("duplicate_of"), "included")
 
 
 @register(BASE + "SELECT bib_id, count(*) AS n FROM inc WHERE status = 'matched' GROUP BY bib_id")
