@@ -92,7 +92,8 @@ def _swept(rows: pd.DataFrame, sweep: Sweep, default: str) -> pd.DataFrame:
     found = [sweep.judge(k, p) for k, p in zip(rows["_key"], rows["path"], strict=True)]
     rows["rule"] = [f[0] for f in found]
     rows["verdict"] = [f[1] or default for f in found]
-    return rows.drop(columns="_key")
+    # strings as objects: chunked string columns can't be sent back as one array
+    return rows.drop(columns="_key").astype({c: object for c in ("host", "path", "rule", "verdict")})
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", partitions: int | None = None, broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
