@@ -210,9 +210,9 @@ def rank_fractional_topk(spark, sf_dir):
 
 SUMMARY = """, hid AS (
   SELECT l_orderkey, count(*) AS n FROM au GROUP BY l_orderkey)
-SELECT inc.bib_id, count(*) AS input_references, count_if(status = 'matched') AS matched_references, count_if(status = 'ambiguous') AS ambiguous_references,
-  count_if(status = 'unmatched') AS unmatched_references, CAST(0 AS BIGINT) AS errored_references, count(duplicate_of) AS duplicate_references,
-  count_if(included) AS distinct_matched_works, coalesce(any_value(ranked), 0) AS ranked_people, count_if(et_al) AS et_al_references,
+SELECT inc.bib_id, count(*) AS input_references, CAST(count_if(status = 'matched') AS BIGINT) AS matched_references, CAST(count_if(status = 'ambiguous') AS BIGINT) AS ambiguous_references,
+  CAST(count_if(status = 'unmatched') AS BIGINT) AS unmatched_references, CAST(0 AS BIGINT) AS errored_references, count(duplicate_of) AS duplicate_references,
+  CAST(count_if(included) AS BIGINT) AS distinct_matched_works, coalesce(any_value(ranked), 0) AS ranked_people, CAST(count_if(et_al) AS BIGINT) AS et_al_references,
   CAST(sum(CASE WHEN status = 'matched' AND et_al THEN greatest(0, coalesce(hid.n, 0) - 1) ELSE 0 END) AS BIGINT) AS hidden_authors_expanded
 FROM inc LEFT JOIN hid ON hid.l_orderkey = inc.o_orderkey LEFT JOIN (SELECT bib_id, count(*) AS ranked FROM ppl GROUP BY bib_id) p ON p.bib_id = inc.bib_id
 GROUP BY inc.bib_id"""
