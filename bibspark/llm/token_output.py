@@ -23,8 +23,10 @@ from bibspark.llm.common import schema_with, shared_dir
 
 END_ID = 1
 #: Text that is encoded at once, in bytes, and words that an encoder remembers.
-SLICE_BYTES = 2 << 20
-REMEMBERED = 200_000
+SLICE_BYTES = 4 << 20
+REMEMBERED = 600_000
+#: Words that the tokenizer gets as one sequence.
+RUN = 500
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 PARQUET = {
@@ -42,7 +44,8 @@ PARQUET = {
 class Encoder:
     """Encodes texts by a tokenizer that never joins what ASCII white space parts.
 
-    Each different word is encoded once and remembered; all else is array work.
+    Each different word is encoded once and remembered as a number; its ids are one list of an
+    Arrow array, so that a text's ids are a take of lists.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,36 +53,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
+        self.forget()
+
+    def forget(self) -> None:
+        # the end of a text is word 0, with one id
+        self.known: dict[str, int] = {}
+        self.ids = [np.array([END_ID], np.int32)]
+        self.ends = [np.array([0, 1], np.int64)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words, many in a call; each by itself."""
+        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
+        for run, e in zip(runs, self.tokenizer.encode_batch(runs, is_pretokenized=True, add_special_tokens=False), strict=True):
+            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(run))
+            self.ids.append(np.array(e.ids, np.int32))
+            self.ends.append(self.ends[-1][-1] + np.cumsum(size))
+        self.known.update(zip(words, range(len(self.known) + 1, len(self.known) + len(words) + 1), strict=True))
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            self.forget()
             new = words
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.int32)
-        return [self.known[w] for w in words]
+        if new:
+            self.learn(new)
+            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
+        return np.fromiter((self.known[w] for w in words), np.int32, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, END_ID after each text, and the number of ids of each text."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        begin = np.cumsum(size) - size
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        # the end of a text is one more word, with one id
-        flat, begin, size = np.append(flat, np.int32(END_ID)), np.append(begin, len(flat)), np.append(size, 1)
+        number = self.numbers(coded.dictionary.to_pylist())
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(n_words)
-        which = np.insert(which, ends, len(size) - 1)
-        each = size[which]
-        upto = np.cumsum(each)
-        out = flat[np.repeat(begin[which] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
-        last = np.cumsum(n_words + 1) - 1
-        return out, np.diff(upto[last], prepend=0)
+        which = np.insert(number[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n_words), 0)
+        of_word = pa.LargeListArray.from_arrays(self.ends[0], self.ids[0])
+        taken = of_word.take(pa.array(which))
+        upto = taken.offsets.to_numpy()
+        return taken.values.to_numpy(), np.diff(upto[np.cumsum(n_words + 1)], prepend=0)
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder: its words serve all tasks that the process runs."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -104,7 +125,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, partitions: in
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, part = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, before, part = encoder_of(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 ids, size = encoder.encode(batch.column(1).slice(a, b - a))
