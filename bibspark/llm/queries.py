@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.llm import chat, decontaminate, mixing, pu_quality, quality_rules, sharding, simhash, token_output, toxicity, url_filter
-from bibspark.llm.common import table
+from bibspark.llm.common import shared_dir, table
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -69,8 +70,9 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards."""
-    return sharding.shard(table(spark, sf_dir, "documents"), 40)
+    """All documents in 40 shards, by the slot map that is stored for this folder's documents."""
+    path = f"{shared_dir(spark)}/bibspark/slot-map-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return sharding.shard(table(spark, sf_dir, "documents"), 40, map_path=path)
 
 
 def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +90,37 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Slot
     return sorted(tuple(r) for r in stored.where(F.col("version") == version).collect())
 
 
+def current_map(spark: SparkSession, sizes: Sequence[int], n_shards: int, path: str) -> SlotMap:
+    """The latest stored map, grown and stored as the next version if it has fewer shards.
+
+    Without a stored one the first is made and stored. A map for other slots or more shards
+    than asked for is an error, as no slot may move without a stored edit.
+    """
+    try:
+        stored = load_map(spark, path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = []
+    if not stored:
+        stored = first_map(sizes, n_shards)
+        save_map(spark, stored, path)
+        return stored
+    if [slot for _, slot, _ in stored] != list(range(len(sizes))):
+        raise ValueError(f"the stored map isn't one of {len(sizes)} slots")
+    version, have = stored[0][0], max(shard for _, _, shard in stored) + 1
+    if have > n_shards:
+        raise ValueError(f"the stored map has {have} shards, more than {n_shards}")
+    grown = stored
+    for _ in range(n_shards - have):
+        grown = grown_map(grown, sizes)
+    if any(a[2] != b[2] for a, b in zip(stored, grown, strict=True)):
+        grown = [(version + 1, slot, shard) for _, slot, shard in grown]
+        save_map(spark, grown, path)
+        return grown
+    return stored
+
+
 def sized(documents: DataFrame, n_slots: int) -> DataFrame:
     """doc_id, size, text_crc32 and virtual_slot of each document; null text has no bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -105,7 +137,8 @@ def shard(documents: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path:
 
     The text is read once; after that only narrow rows move. A place in a shard is the slot's
     offset (from per-slot counts) plus the place in the slot, so no task orders more than a
-    slot. Null ids and texts are hashed and placed like others, repeated rows stay separate
+    slot. With ``map_path`` the stored map decides, and more shards than it has extend it; without
+    it a map is made for this call. Null ids and texts are hashed and placed like others, repeated rows stay separate
     rows, extra columns are ignored, and an empty table gives no rows. Rows equal in id and
     text share a slot: a slot is the unit that is balanced.
     """
@@ -117,9 +150,7 @@ def shard(documents: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path:
     sizes, counts = [0] * n_slots, [0] * n_slots
     for r in per_slot:
         sizes[r["virtual_slot"]], counts[r["virtual_slot"]] = int(r["bytes"]), r["n"]
-    slot_map = first_map(sizes, n_shards)
-    if map_path:
-        save_map(spark, slot_map, map_path)
+    slot_map = current_map(spark, sizes, n_shards, map_path) if map_path else first_map(sizes, n_shards)
     filled = [0] * n_shards
     placed = []
     for _, slot, to in slot_map:
