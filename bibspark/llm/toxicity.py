@@ -1,4 +1,7 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over selected terms.
+
+Terms are what leans toxic in the labelled examples (LEAST_EXAMPLES, LEAST_CHI, MAX_TERMS); all
+other words are one term, so a text without a selected term is like any clean one.
 
 A bounded sample of labelled texts is indexed as posting lists that are cut into blocks of
 examples; each term's largest weight in a block bounds the block's cosines, so blocks that
