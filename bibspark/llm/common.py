@@ -40,3 +40,21 @@ def word_count(text: Column) -> Column:
 def schema_with(df: DataFrame, more: str) -> StructType:
     """The frame's schema and further fields, given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def text_key(text: Column) -> Column:
+    """A hash that stands for a text; null is like empty."""
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def rows_of(documents: DataFrame, kept: DataFrame, all_rows: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each doc_id and text_key of ``kept``; ``all_rows`` has those of all."""
+    row_key = lambda text: F.md5(F.concat_ws(" ", text, F.col("doc_id").cast("string"))).alias("near_row")
+    kept = staged(kept.select(row_key(F.col("text_key"))), "near-kept")
+    again = all_rows.select(row_key(F.col("text_key"))).groupBy("near_row").count().where("count > 1").select("near_row")
+    again = staged(again.join(kept, "near_row", "left_semi"), "near-repeats")
+    rows = documents.withColumn("near_row", row_key(text_key(F.col("text")))).join(kept, "near_row", "left_semi")
+    if not again.isEmpty():
+        once = rows.join(again, "near_row", "left_semi").dropDuplicates(["near_row"])
+        rows = rows.join(again, "near_row", "left_anti").unionByName(once)
+    return rows.select(*documents.columns)

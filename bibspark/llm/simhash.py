@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import schema_with, staged
+from bibspark.llm.common import rows_of, schema_with, staged, text_key
 from bibspark.operators.components import connected_components
 
 BITS = 64
@@ -293,14 +293,12 @@ def classes(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFram
 
 
 def deduplicated(documents: DataFrame, shingle: int = 3, radius: int = 3) -> DataFrame:
-    """The documents without all but one of each component: the one of its least doc_id.
+    """One document of each component: that of the least doc_id, then of the least text hash.
 
-    Of repeated rows with that id one stays. Rows with a null doc_id can't be named and stay.
+    Rows that share an id but no component are judged apart, and of rows equal in id and text
+    one stays. Rows with a null doc_id are no copies of named ones; of a component's one stays.
     """
-    found = staged(classes(documents, shingle, radius), "simhash-classes")
-    kept = documents.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = staged(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeats")
-    if not again.isEmpty():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*documents.columns)
+    named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", text_key(F.col("text")).alias("text_key"))
+    found = staged(classes(documents.select(named.alias("doc_id"), "text"), shingle, radius), "simhash-classes")
+    kept = found.groupBy("component_id", "doc_id.unnamed").agg(F.min("doc_id").alias("first"))
+    return rows_of(documents, kept.select("first.doc_id", "first.text_key"), found.select("doc_id.doc_id", "doc_id.text_key"))
