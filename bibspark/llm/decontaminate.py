@@ -21,17 +21,21 @@ from pyspark.sql import functions as F
 from bibspark.llm.common import schema_with
 
 WORD = re.compile(r"[^\W_]+")
-#: Errors allowed for each word of an item, and words below which an item proves nothing.
+#: Scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each character is a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
+#: Errors allowed for each word of an item, and words below which an item proves nothing; a
+#: character of an unspaced script is half a word here.
 RATE, LEAST_WORDS = 0.2, 5
 #: Items go to the tasks in blocks of so many characters, whatever the benchmark's size.
 BLOCK_CHARS = 32 << 20
 
 
 def normal(text: str | None) -> list[str]:
-    """Letters and digits as words, lower case, in compatibility form."""
+    """Letters and digits as words, lower case, in compatibility form; unspaced scripts by character."""
     text = text or ""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
+        text = UNSPACED.sub(r" \g<0> ", text)
     return WORD.findall(text.lower())
 
 
@@ -64,7 +68,7 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             words = normal(text)
-            if len(words) < LEAST_WORDS:
+            if len(words) - sum(map(bool, map(UNSPACED.match, words))) / 2 < LEAST_WORDS:
                 continue
             budget = int(rate * len(words))
             at = len(self.items)
