@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -42,6 +47,14 @@ def schema_with(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def slices(texts: pa.Array, most: int, rows: int = 1 << 31) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``rows`` texts of about ``most`` bytes; a longer text is a run of its own."""
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    run = np.cumsum(size) // most + np.arange(len(texts)) // rows * (1 << 40)
+    cuts = [0, *(np.nonzero(np.diff(run))[0] + 1).tolist(), len(texts)]
+    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
+
+
 def text_key(text: Column) -> Column:
     """A hash that stands for a text; null is like empty."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

@@ -7,7 +7,9 @@ reader of some documents, or of the lengths alone, reads little else.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -19,14 +21,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import schema_with, shared_dir
+from bibspark.llm.common import schema_with, shared_dir, slices
 
 END_ID = 1
-#: Text that is encoded at once, in bytes, and words that an encoder remembers.
+#: Text that is encoded at once, in bytes; pieces that an encoder remembers; the least length of
+#: the runs that the whole tokenizer gets.
 SLICE_BYTES = 4 << 20
-REMEMBERED = 600_000
-#: Words that the tokenizer gets as one sequence.
-RUN = 500
+REMEMBERED = 250_000
+RUN_CHARS = 1 << 16
+SPACE = re.compile(r"[\x20\x09-\x0D]")
+#: Texts of other characters than ASCII and Latin letters and signs, or with a control string,
+#: aren't plain: only of these are lower case, composition and classes beyond doubt.
+ODD = r"<\||[^\x09-\x0D\x20-\x7E\x{A1}-\x{FF}\x{2010}-\x{2027}\x{20AC}]"
+#: What stands as a piece of its own; letters between are the other pieces. this
+#: and PREPARED state what the public vocabulary file says.
+APART = r"('s|'t|'re|'ve|'m|'ll|'d|\pN|[^\x20\x09-\x0D\pL\pN]+)"
+PREPARED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Bytes that are no visible Latin-1 character stand for letters from 256 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2_000
 PARQUET = {
@@ -44,8 +65,9 @@ PARQUET = {
 class Encoder:
     """Encodes texts by a tokenizer that never joins what ASCII white space parts.
 
-    Each different word is encoded once and remembered as a number; its ids are one list of an
-    Arrow array, so that a text's ids are a take of lists.
+    If the tokenizer normalises and cuts texts as in PREPARED, a text of PLAIN characters is cut
+    into the same pieces by Arrow, and its model encodes each different piece once. All other
+    texts go through the whole tokenizer, in runs that end at white space.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,64 +75,85 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.model = self.tokenizer.model if {k: told[k] for k in PREPARED} == PREPARED else None
         self.forget()
 
     def forget(self) -> None:
-        # the end of a text is word 0, with one id
+        # the end of a text is piece 0, with one id
         self.known: dict[str, int] = {}
         self.ids = [np.array([END_ID], np.int32)]
         self.ends = [np.array([0, 1], np.int64)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes words, many in a call; each by itself."""
-        runs = [words[i : i + RUN] for i in range(0, len(words), RUN)]
-        for run, e in zip(runs, self.tokenizer.encode_batch(runs, is_pretokenized=True, add_special_tokens=False), strict=True):
-            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(run))
-            self.ids.append(np.array(e.ids, np.int32))
-            self.ends.append(self.ends[-1][-1] + np.cumsum(size))
-        self.known.update(zip(words, range(len(self.known) + 1, len(self.known) + len(words) + 1), strict=True))
-
-    def numbers(self, words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in self.known]
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces by the model alone: lower case, in the alphabet of bytes."""
+        ids, sizes, model = [], [], self.model.tokenize
+        for p in pieces:
+            found = model(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LETTERS))
+            sizes.append(len(found))
+            ids += [t.id for t in found]
+        self.ids = [np.concatenate((self.ids[0], np.array(ids, np.int32)))]
+        self.ends = [np.concatenate((self.ends[0], self.ends[0][-1] + np.cumsum(np.array(sizes, np.int64))))]
+        self.known.update(zip(pieces, range(len(self.known) + 1, len(self.known) + len(pieces) + 1), strict=True))
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.forget()
-            new = words
+            new = pieces
         if new:
             self.learn(new)
-            self.ids, self.ends = [np.concatenate(self.ids)], [np.concatenate(self.ends)]
-        return np.fromiter((self.known[w] for w in words), np.int32, len(words))
+        return np.fromiter((self.known[p] for p in pieces), np.int32, len(pieces))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, END_ID after each text, and the number of ids of each text."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    def plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """encode() of texts of PLAIN characters."""
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), APART, r" \1 ")
+        lists = pc.ascii_split_whitespace(apart)
         coded = lists.flatten().dictionary_encode()
         number = self.numbers(coded.dictionary.to_pylist())
-        n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-        which = np.insert(number[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n_words), 0)
-        of_word = pa.LargeListArray.from_arrays(self.ends[0], self.ids[0])
-        taken = of_word.take(pa.array(which))
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        which = np.insert(number[coded.indices.to_numpy(zero_copy_only=False)], np.cumsum(n), 0)
+        taken = pa.LargeListArray.from_arrays(self.ends[0], self.ids[0]).take(pa.array(which))
         upto = taken.offsets.to_numpy()
-        return taken.values.to_numpy(), np.diff(upto[np.cumsum(n_words + 1)], prepend=0)
+        return taken.values.to_numpy(), np.diff(upto[np.cumsum(n + 1)], prepend=0)
+
+    def whole(self, text: str) -> list[int]:
+        """A text's ids by the whole tokenizer, END_ID last."""
+        runs, at = [], 0
+        while at < len(text):
+            space = SPACE.search(text, at + RUN_CHARS)
+            end = space.end() if space else len(text)
+            runs.append(text[at:end])
+            at = end
+        return [i for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False) for i in e.ids] + [END_ID]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, END_ID after each text, and the number of ids of each text."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) if self.model else np.ones(len(texts), bool)
+        if not odd.any():
+            return self.plain(texts)
+        at = np.nonzero(odd)[0]
+        others = [self.whole(t) for t in texts.take(pa.array(at)).to_pylist()]
+        ids, sizes = self.plain(texts.filter(pa.array(~odd))) if len(at) < len(odd) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        counts = np.zeros(len(odd), np.int64)
+        counts[~odd], counts[odd] = sizes, [len(x) for x in others]
+        from_odd = np.repeat(odd, counts)
+        out = np.empty(len(from_odd), np.int32)
+        out[~from_odd], out[from_odd] = ids, np.concatenate([np.array(x, np.int32) for x in others])
+        return out, counts
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder_of(path: str) -> Encoder:
-    """The worker process's encoder: its words serve all tasks that the process runs."""
+    """The worker process's encoder; a task that ends lets its pieces go."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` bytes; a longer text is a run of its own."""
-    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    run = (np.cumsum(size) // most).astype(np.int64)
-    cuts = [0, *(np.nonzero(np.diff(run))[0] + 1).tolist(), len(texts)]
-    return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
-
-
 def write_tokens(documents: DataFrame, tokenizer: str, path: str, partitions: int | None = None) -> None:
     """Writes ``path/tokens`` (doc_id, n_tokens, part, before, tokens) and ``path/parts``.
 
@@ -126,8 +169,8 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, partitions: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, part = encoder_of(tokenizer), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
+        try:
+            for batch, a, b in ((x, *cut) for x in batches for cut in slices(x.column(1), SLICE_BYTES)):
                 ids, size = encoder.encode(batch.column(1).slice(a, b - a))
                 offsets = np.concatenate(([0], np.cumsum(size)))
                 yield pa.record_batch(
@@ -136,11 +179,14 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, partitions: in
                         pa.array(size.astype(np.int64)),
                         pa.array(np.full(b - a, part, np.int32)),
                         pa.array(before + offsets[:-1]),
-                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                     ],
                     names=["doc_id", "n_tokens", "part", "before", "tokens"],
                 )
                 before += int(offsets[-1])
+        finally:
+            encoder.forget()
+            pa.default_memory_pool().release_unused()
 
     schema = schema_with(documents.select("doc_id"), "n_tokens long, part int, before long, tokens array<int>")
     ordered = documents.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(n, "doc_id", "tie")
