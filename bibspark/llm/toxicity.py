@@ -1,197 +1,235 @@
-"""Toxicity from the nearest labelled examples by exact TF-IDF cosine over selected terms.
+"""Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are what leans toxic in the labelled examples (LEAST_EXAMPLES, LEAST_CHI, MAX_TERMS); all
-other words are one term, so a text without a selected term is like any clean one.
+Terms are all words of the examples and their beginnings of 3 to 7 letters. A term weighs
+(1 + log tf) * idf * rf^2; rf = log2(2 + a / max(1, b)) is its relevance frequency in a toxic and b
+other examples, which lets a toxic word outweigh the many words that say nothing.
 
 A bounded sample of labelled texts is indexed as posting lists that are cut into blocks of
 examples; each term's largest weight in a block bounds the block's cosines, so blocks that
-cannot hold a nearest example are skipped and the result stays exact. Distance-weighted votes
-of the nearest examples are calibrated by isotonic regression on leave-one-out votes.
+cannot hold a nearest example are skipped and the result stays exact. Weights are multiples of
+2^-24, so every sum is exact in double precision, in whatever order it is made. Distance-weighted
+votes of the nearest examples are calibrated by isotonic regression on leave-one-out votes.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import schema_with
+from bibspark.llm.common import schema_with, slices
 
 #: Bounds of the sample of labelled rows: texts, and code points of each.
-MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 6000, 20_000
-#: Terms: at most so many, each in so many examples and so far from chance (chi squared).
-MAX_TERMS, LEAST_EXAMPLES, LEAST_CHI = 2000, 3, 25.0
+MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 3000, 100_000
+BEGINNINGS = (3, 5, 7)
 NEAREST, BLOCK, EVIDENCE = 31, 64, 3
-REMEMBERED = 200_000
-WORD = re.compile(r"[^\W_]+")
-EXAMPLES_SCHEMA = "doc_id long, text string, label int"
+#: A term in more than this share of the examples has a row of weights instead of a list.
+DENSE = 1 / 25
+#: Texts that are cut into words at once (bytes, rows), and rows that are searched at once.
+SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 4 << 20, 4096, 256
+UNIT = float(1 << 24)
+NOT_WORD = r"[^\pL\pN]+"
 
 
-def parts_of(word: str) -> list[str]:
-    """The terms of a word: itself and its beginnings of 3 to 7 letters."""
-    return ["=" + word, *("^" + word[:n] for n in range(3, min(8, len(word))))]
+def word_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words, and each text's words: row, word number and count, sorted."""
+    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())), NOT_WORD)
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary
+    row = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    key, count = np.unique(row * len(words) + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return words, key // max(1, len(words)), key % max(1, len(words)), count
 
 
-def word_counts(text: str | None) -> Counter[str]:
-    return Counter(WORD.findall((text or "").lower()))
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of runs that begin at ``starts``, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def place_of(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """Where each value stands in ``among``, -1 if nowhere."""
+    return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 class BlockMaxIndex:
-    """Sparse unit vectors in posting lists with a largest weight for each term and block."""
+    """Sparse vectors as posting lists with a largest weight for each term and block.
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
-        lengths = [len(ids) for ids, _ in vectors]
-        term = np.concatenate([ids for ids, _ in vectors]).astype(np.int64)
-        doc = np.repeat(np.arange(len(vectors)), lengths)
-        weight = np.concatenate([w for _, w in vectors])
+    Terms of many examples have full rows of weights and of block maxima, so that their share
+    of all sums is a matrix product.
+    """
+
+    def __init__(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int) -> None:
+        self.n, self.blocks = n, max(1, -(-n // BLOCK))
+        spread = np.bincount(term, minlength=terms)
+        common = np.nonzero(spread > DENSE * n)[0]
+        self.row = np.full(terms, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        dense = self.row[term] >= 0
+        self.full = np.zeros((len(common), self.blocks * BLOCK))
+        self.full[self.row[term[dense]], doc[dense]] = weight[dense]
+        self.full_max = self.full.reshape(len(common), self.blocks, BLOCK).max(axis=2)
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.lexsort((doc, term))
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.doc, self.weight = doc[order], weight[order]
-        self.start = np.searchsorted(term[order], np.arange(terms + 1))
+        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
         cell = term[order] * self.blocks + self.doc // BLOCK
         first = np.nonzero(np.diff(cell, prepend=-1))[0]
-        self.cell_block = (cell[first] % self.blocks).astype(np.int64)
-        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cell_start = np.searchsorted(cell[first] // self.blocks, np.arange(terms + 1))
-
-    def bounds(self, ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.blocks)
-        for t, w in zip(ids, weights, strict=True):
-            a, b = self.cell_start[t], self.cell_start[t + 1]
-            out[self.cell_block[a:b]] += w * self.cell_max[a:b]
-        return out
-
-    def cosines(self, ids: np.ndarray, weights: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Cosines to all examples of the wanted blocks."""
-        out = np.zeros(self.blocks * BLOCK)
-        for t, w in zip(ids, weights, strict=True):
-            a, b = self.start[t], self.start[t + 1]
-            doc, value = self.doc[a:b], self.weight[a:b]
-            if not wanted.all():
-                of = wanted[doc // BLOCK]
-                doc, value = doc[of], value[of]
-            out[doc] += w * value
-        return np.round(out, 9)
-
-    def search(self, ids: np.ndarray, weights: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of all that are as near as the k-th nearest, ties included."""
-        bound = self.bounds(ids, weights)
-        order = np.argsort(-bound, kind="stable")
-        done = np.zeros(self.blocks, bool)
-        score = np.full(self.blocks * BLOCK, -1.0)
-        k, at, wave = min(k, self.n - (leave >= 0)), 0, max(2, -(-2 * k // BLOCK))
-        least = -1.0
-        while at < self.blocks and bound[order[at]] + 1e-8 >= least:
-            now = order[at : at + wave]
-            now = now[bound[now] + 1e-8 >= least]
-            wanted = np.zeros(self.blocks, bool)
-            wanted[now] = True
-            rows = np.repeat(wanted, BLOCK)
-            score[rows] = self.cosines(ids, weights, wanted)[rows]
-            score[self.n :] = -1
-            if leave >= 0:
-                score[leave] = -1
-            done |= wanted
-            at += len(now)
-            wave *= 2
-            if np.count_nonzero(score >= 0) >= k:
-                least = np.partition(score, -k)[-k]
-        near = np.nonzero(score >= max(least, 0.0))[0]
-        return near, score[near]
+        self.cell_block = (cell[first] % self.blocks).astype(np.int32)
+        self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.cell_at = np.append(first, len(cell)).astype(np.int32)
+        self.start = np.searchsorted(cell[first] // self.blocks, np.arange(terms + 1)).astype(np.int32)
+
+    def __getstate__(self) -> dict[str, object]:
+        return self.__dict__ | {"full": self.full.astype(np.float32), "full_max": None}
+
+    def __setstate__(self, state: dict[str, object]) -> None:
+        self.__dict__.update(state)
+        self.full = self.full.astype(float)
+        self.full_max = self.full.reshape(len(self.full), self.blocks, BLOCK).max(axis=2)
+
+    def search(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of each query to the examples (-1: can't be near) and the k-th largest.
+
+        ``leave`` has an example for each query that doesn't count. Every example whose cosine
+        reaches the k-th largest has its cosine, ties included.
+        """
+        row = self.row[term]
+        dense = row >= 0
+        common = np.zeros((queries, len(self.full)))
+        common[query[dense], row[dense]] = weight[dense]
+        sizes = self.start[term[~dense] + 1] - self.start[term[~dense]]
+        cell = ranges(self.start[term[~dense]], sizes)
+        of, share = np.repeat(query[~dense], sizes), np.repeat(weight[~dense], sizes)
+        at = of * self.blocks + self.cell_block[cell]
+        bound = common @ self.full_max + np.bincount(at, share * self.cell_max[cell], queries * self.blocks).reshape(queries, self.blocks)
+
+        out = np.full((queries, self.blocks * BLOCK), -1.0)
+        k = min(k, self.n - (leave is not None))
+
+        def measure(wanted: np.ndarray) -> np.ndarray:
+            own = wanted.reshape(-1)[at]
+            n = self.cell_at[cell[own] + 1] - self.cell_at[cell[own]]
+            place = ranges(self.cell_at[cell[own]], n)
+            sums = np.bincount(np.repeat(of[own], n) * out.shape[1] + self.doc[place], np.repeat(share[own], n) * self.weight[place], out.size).reshape(out.shape)
+            if 2 * np.count_nonzero(wanted) > wanted.size:
+                sums = sums + common @ self.full
+                np.copyto(out, sums, where=np.repeat(wanted, BLOCK, axis=1))
+            else:
+                for b in np.nonzero(wanted.any(axis=0))[0]:
+                    rows, block = np.nonzero(wanted[:, b])[0], slice(b * BLOCK, (b + 1) * BLOCK)
+                    out[rows, block] = common[rows] @ self.full[:, block] + sums[rows, block]
+            out[:, self.n :] = -1
+            if leave is not None:
+                out[np.arange(queries), leave] = -1
+            return np.partition(out, out.shape[1] - k, axis=1)[:, out.shape[1] - k]
+
+        first = np.zeros((queries, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, : 1 + -(-k // BLOCK)], True, axis=1)
+        least = measure(first)
+        rest = ~first & (bound >= least[:, None])
+        return out, measure(rest) if rest.any() else least
 
 
 class Model:
-    """Terms, index, labels and calibration; small and the same size for any corpus."""
+    """Terms, index, labels and calibration; as large as the sample, for any corpus."""
 
     def __init__(self, rows: list[tuple[int, str, int]]) -> None:
         rows = sorted(rows, key=lambda r: (r[2], r[0], r[1]))
-        counts = [word_counts(r[1]) for r in rows]
-        label = np.array([r[2] for r in rows], float)
-        n, positive = len(rows), int(label.sum())
-        self.prior = (positive + 0.5) / (n + 1)
-        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
-        for c, y in zip(counts, label, strict=True):
-            seen[int(y)].update({p for w in c for p in parts_of(w)})
-
-        def chi(term: str) -> float:
-            a, b = seen[1][term], seen[0][term]
-            c, d = positive - a, n - positive - b
-            return n * (a * d - b * c) ** 2 / max(1e-9, (a + b) * (c + d) * positive * (n - positive)) if a * d > b * c else 0.0
-
-        far = {t: chi(t) for t, a in seen[1].items() if a >= LEAST_EXAMPLES}
-        terms = sorted((t for t, x in far.items() if x >= LEAST_CHI), key=lambda t: (-far[t], t))[:MAX_TERMS]
-        self.terms = {t: i for i, t in enumerate(terms)}
-        # all words outside the terms count as one more term, which every text has
-        self.idf = np.array([math.log((n + 1) / (seen[0][t] + seen[1][t] + 1)) + 1 for t in terms] + [1.0])
-        self.known: dict[str, tuple[int, ...]] = {}
-        vectors = [self.vector(c) for c in counts]
-        # similar examples side by side: by their heaviest term
-        heavy = [int(ids[np.argmax(w)]) if len(ids) else -1 for ids, w in vectors]
-        order = sorted(range(n), key=lambda i: (heavy[i], i))
-        self.ids = [rows[i][0] for i in order]
-        self.label = label[order]
-        vectors = [vectors[i] for i in order]
-        self.index = BlockMaxIndex(vectors, len(terms) + 1) if n else None
+        n, self.label = len(rows), np.array([r[2] for r in rows], float)
+        self.ids = [r[0] for r in rows]
+        self.prior = float((self.label.sum() + 0.5) / (n + 1))
+        self.index = None
+        if not n:
+            return
+        words, row, word, count = word_counts(pa.array([r[1] for r in rows], pa.large_string()))
+        self.words = words.filter(pc.not_equal(words, ""))
+        self.starts = pc.unique(pa.chunked_array([pc.utf8_slice_codeunits(self.words.filter(pc.greater(pc.utf8_length(self.words), k)), 0, k) for k in BEGINNINGS]).combine_chunks())
+        row, term, times = self.terms(words, row, word, count)
+        toxic = np.bincount(term, self.label[row], len(self.words) + len(self.starts))
+        held = np.bincount(term, minlength=len(toxic))
+        self.factor = (np.log((n + 1) / (held + 1)) + 1) * np.log2(2 + toxic / np.maximum(1, held - toxic)) ** 2
+        weight = self.weights(row, term, times, n)
+        # similar examples side by side: by the term that weighs most
+        heaviest = np.zeros(n, np.int64)
+        order = np.lexsort((weight, row))
+        heaviest[row[order]] = term[order]
+        place = np.empty(n, np.int64)
+        place[np.lexsort((np.arange(n), heaviest))] = np.arange(n)
+        self.ids = [self.ids[i] for i in np.argsort(place)]
+        self.label = self.label[np.argsort(place)]
+        self.index = BlockMaxIndex(place[row], term, weight, n, len(toxic))
         self.x, self.y = np.array([0.0, 1.0]), np.array([self.prior, self.prior])
         if n > 1:
-            votes = np.array([self.vote(*self.near(*v, leave=i)) for i, v in enumerate(vectors)])
+            votes = np.zeros(n)
+            for a in range(0, n, BATCH_ROWS):
+                own = slice(*np.searchsorted(row, (a, a + BATCH_ROWS)))
+                leave = place[a : a + BATCH_ROWS]
+                cosines, least = self.index.search(row[own] - a, term[own], weight[own], len(leave), NEAREST, leave)
+                votes[leave] = [self.vote(*self.near(c, x)) for c, x in zip(cosines, least, strict=True)]
             self.x, self.y = isotonic(votes, self.label)
-        self.known, self.scored = {}, {}
-
-    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The unit TF-IDF vector of a text: sorted term numbers and weights."""
-        found: Counter[int] = Counter()
-        total = 0
-        for word, k in counts.items():
-            ids = self.known.get(word)
-            if ids is None:
-                ids = tuple(self.terms[p] for p in parts_of(word) if p in self.terms)
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                self.known[word] = ids
-            for t in ids:
-                found[t] += k
-            total += k
-        if total:
-            found[len(self.terms)] = total
-        ids = np.array(sorted(found), np.int64)
-        weights = np.array([(1 + math.log(found[t])) * self.idf[t] for t in ids.tolist()])
-        return ids, weights / np.linalg.norm(weights) if len(ids) else weights
-
-    def near(self, ids: np.ndarray, weights: np.ndarray, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        return self.index.search(ids, weights, NEAREST, leave)
+
+    def terms(self, words: pa.Array, row: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and frequency from counts of words, rows in order."""
+        size, w, of = pc.utf8_length(words).to_numpy(zero_copy_only=False), len(self.words), len(self.words) + len(self.starts)
+        own = place_of(words, self.words)[word]
+        begun = np.stack([np.where(size > k, place_of(pc.utf8_slice_codeunits(words, 0, k), self.starts), -1) for k in BEGINNINGS], axis=1)[word]
+        at, which = np.nonzero(begun >= 0)
+        key = row[at] * of + w + begun[at, which]
+        if len(key) < 1 << 24 and len(key) and key[-1] < 1 << 38:
+            order = np.sort(key << 24 | np.arange(len(key))) & (1 << 24) - 1  # faster than argsort()
+        else:
+            order = np.argsort(key)
+        key = key[order]
+        first = np.nonzero(np.diff(key, prepend=-1))[0]
+        times = np.add.reduceat(count[at[order]], first) if len(first) else np.zeros(0, np.int64)
+        key, known = key[first], own >= 0
+        row = np.concatenate((row[known], key // max(1, of)))
+        order = np.argsort(row, kind="stable")
+        return row[order], np.concatenate((own[known], key % max(1, of)))[order], np.concatenate((count[known], times))[order]
+
+    def weights(self, row: np.ndarray, term: np.ndarray, times: np.ndarray, rows: int) -> np.ndarray:
+        """Unit vectors' weights, rounded to multiples of 1 / UNIT."""
+        weight = (1 + np.log(times)) * self.factor[term]
+        length = np.sqrt(np.bincount(row, weight * weight, rows))
+        return np.round(weight / length[row] * UNIT) / UNIT
+
+    def near(self, cosines: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Examples and cosines of all that are as near as the k-th nearest, ties included."""
+        near = np.nonzero(cosines >= max(least, 0.0))[0]
+        return near, cosines[near]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """Votes weigh 1 / distance; examples that tie for the last places share these."""
-        last = cosine.min()
-        tied = cosine == last
+        tied = cosine == cosine.min()
         weight = 1 / (1.001 - cosine)
         places = min(NEAREST, len(near)) - np.count_nonzero(~tied)
         weight[tied] *= places / np.count_nonzero(tied)
         return float((weight * self.label[near]).sum() / weight.sum())
 
-    def score(self, text: str | None) -> tuple[float, list[dict[str, object]]]:
-        """Calibrated score and the nearest examples as evidence."""
+    def score(self, texts: pa.Array) -> tuple[list[float], list[list[dict[str, object]]]]:
+        """Calibrated scores and the nearest examples as evidence."""
         if self.index is None:
-            return self.prior, []
-        ids, weights = self.vector(word_counts(text))
-        key = (ids.tobytes(), np.round(weights, 12).tobytes())
-        if key not in self.scored:
-            near, cosine = self.near(ids, weights)
-            vote = self.vote(near, cosine)
-            level = float(np.interp(vote, self.x, self.y))
-            best = sorted(zip(-cosine, (self.ids[i] for i in near), near, strict=True))[:EVIDENCE]
-            evidence = [{"doc_id": d, "cosine": -float(c), "label": int(self.label[i])} for c, d, i in best]
-            if len(self.scored) > REMEMBERED // 4:
-                self.scored.clear()
-            self.scored[key] = (0.98 * level + 0.02 * vote, evidence)
-        return self.scored[key]
+            return [self.prior] * len(texts), [[] for _ in range(len(texts))]
+        scores, evidence = [], []
+        for a, b in slices(texts, SLICE_BYTES, SLICE_ROWS):
+            row, term, times = self.terms(*word_counts(texts.slice(a, b - a)))
+            weight = self.weights(row, term, times, b - a)
+            for c in range(0, b - a, BATCH_ROWS):
+                n = min(BATCH_ROWS, b - a - c)
+                own = slice(*np.searchsorted(row, (c, c + n)))
+                cosines, least = self.index.search(row[own] - c, term[own], weight[own], n, NEAREST)
+                for x, y in zip(cosines, least, strict=True):
+                    near, cosine = self.near(x, y)
+                    vote = self.vote(near, cosine)
+                    scores.append(0.98 * float(np.interp(vote, self.x, self.y)) + 0.02 * vote)
+                    shown = np.nonzero(cosine >= np.partition(cosine, -EVIDENCE)[-EVIDENCE])[0] if len(cosine) > EVIDENCE else range(len(cosine))
+                    best = sorted((-cosine[i], self.ids[near[i]], near[i]) for i in shown)[:EVIDENCE]
+                    evidence.append([{"doc_id": d, "cosine": -float(c), "label": int(self.label[i])} for c, d, i in best])
+        return scores, evidence
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,19 +249,20 @@ def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 def training_rows(documents: DataFrame, labels: DataFrame, label: str, most: int = MAX_EXAMPLES, chars: int = MAX_EXAMPLE_CHARS) -> DataFrame:
     """doc_id, text and label of at most ``most`` labelled texts: those of least hashed ids.
 
-    Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1; rows with a null
-    label, id or text and texts of over ``chars`` code points are no examples.
+    Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1. Of labels of one id
+    the largest counts, of texts of one id the least; a null label, id or text and texts of over
+    ``chars`` code points are no examples.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `most` rows
-    return rows.where(F.length("text") <= chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")  # `most` rows
+    return rows.where(F.length("text") <= chars).groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """A model from the bounded sample of training_rows(); without examples it scores 0.5."""
-    return Model([tuple(r) for r in training_rows(documents, labels, label).collect()[: 2 * MAX_EXAMPLES]])
+    return Model([tuple(r) for r in training_rows(documents, labels, label).collect()])
 
 
 EVIDENCE_SCHEMA = "array<struct<doc_id:bigint,cosine:double,label:int>>"
@@ -241,21 +280,26 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.score(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], kind)], names=["doc_id", "score", "evidence"])
+            scores, evidence = shared.value.score(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
     schema = schema_with(documents.select("doc_id"), f"score double, evidence {EVIDENCE_SCHEMA}")
     return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def accepted(documents: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The documents whose score is under ``threshold``, judged where they are."""
+    """The documents whose score is under ``threshold``, judged where they are.
+
+    Columns stay, whatever their names. Null and empty texts are scored like any other and,
+    unless most examples are toxic, stay; repeated rows are judged alike; an empty table gives
+    no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+            yield batch.filter(pa.array([x < threshold for x in shared.value.score(batch.column(at))[0]], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

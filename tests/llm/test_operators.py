@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from bibspark.llm import chat, common, decontaminate, mixing, pu_quality, quality_rules, queries, sharding, simhash, token_output, toxicity, url_filter
+from bibspark.llm import chat, common, decontaminate, mixing, pu_quality, quality_rules, queries, sharding, simhash, token_output, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,51 +22,6 @@ def prose(r, words=("alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta",
     return " ".join(r.choice(words) + str(r.randrange(40)) for _ in range(n))
 
 
-# 1
-
-
-def test_block_max_search_is_exact():
-    r = np.random.default_rng(1)
-    vectors = []
-    for _ in range(500):
-        ids = np.sort(r.choice(40, r.integers(1, 8), replace=False))
-        w = r.random(len(ids))
-        vectors.append((ids, w / np.linalg.norm(w)))
-    vectors[10] = vectors[20] = vectors[30]
-    index = toxicity.BlockMaxIndex(vectors, 40)
-    dense = np.zeros((500, 40))
-    for i, (ids, w) in enumerate(vectors):
-        dense[i, ids] = w
-    for i in range(0, 500, 7):
-        for leave in (-1, i):
-            all_ = np.round(dense @ dense[i], 9)
-            if leave >= 0:
-                all_[leave] = -1
-            least = np.sort(all_)[-12]
-            near, cosine = index.search(*vectors[i], 12, leave)
-            assert set(near) == set(np.nonzero(all_ >= max(least, 0))[0])
-            assert cosine == pytest.approx(all_[near], abs=2e-9)
-
-
-def test_toxicity(spark, odd_documents, no_documents):
-    r = random.Random(3)
-    texts = [prose(r) + (" vile filth" * r.randrange(1, 3) if i % 6 == 0 else "") for i in range(600)]
-    documents = docs_of(spark, texts)
-    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)] + [(None, 1), (7, None)], "doc_id long, toxic int")
-    model = toxicity.fit(documents, labels)
-    assert all(zlib.crc32(str(i).encode()) % 3 != 1 for i in model.ids)
-    got = {x.doc_id: x for x in toxicity.scored(documents, model).collect()}
-    assert all((got[i].score >= 0.7) == (i % 6 == 0) for i in range(600))
-    assert got[0].evidence[0].label == 1
-    kept = [x.doc_id for x in toxicity.accepted(documents, model).collect()]
-    assert kept == [i for i in range(600) if i % 6]
-    odd = toxicity.scored(odd_documents, model).collect()
-    assert len(odd) == 13 and all(0 <= x.score < 0.7 for x in odd)
-    assert toxicity.accepted(odd_documents, model).columns == odd_documents.columns
-    assert toxicity.scored(no_documents, model).count() == 0
-    assert toxicity.scored(odd_documents, toxicity.fit(no_documents, labels)).agg(F.max("score")).first()[0] == 0.5
-
-
 # 2
 
 
