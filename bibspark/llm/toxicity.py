@@ -30,7 +30,7 @@ NEAREST, BLOCK, EVIDENCE = 31, 64, 3
 #: A term in more than this share of the examples has a row of weights instead of a list.
 DENSE = 1 / 25
 #: Texts that are cut into words at once (bytes, rows), and rows that are searched at once.
-SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 4 << 20, 4096, 256
+SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 2 << 20, 2048, 128
 UNIT = float(1 << 24)
 NOT_WORD = r"[^\pL\pN]+"
 
@@ -75,20 +75,23 @@ class BlockMaxIndex:
         self.full_max = self.full.reshape(len(common), self.blocks, BLOCK).max(axis=2)
         doc, term, weight = doc[~dense], term[~dense], weight[~dense]
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order].astype(np.int32), weight[order].astype(np.float32)
-        cell = term[order] * self.blocks + self.doc // BLOCK
+        self.doc, self.weight = doc[order].astype(np.min_scalar_type(n)), weight[order].astype(np.float32)
+        cell = term[order].astype(np.int64) * self.blocks + self.doc // BLOCK
         first = np.nonzero(np.diff(cell, prepend=-1))[0]
-        self.cell_block = (cell[first] % self.blocks).astype(np.int32)
+        self.cell_block = (cell[first] % self.blocks).astype(np.min_scalar_type(self.blocks))
         self.cell_max = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
         self.cell_at = np.append(first, len(cell)).astype(np.int32)
         self.start = np.searchsorted(cell[first] // self.blocks, np.arange(terms + 1)).astype(np.int32)
 
     def __getstate__(self) -> dict[str, object]:
-        return self.__dict__ | {"full": self.full.astype(np.float32), "full_max": None}
+        at = np.flatnonzero(self.full)
+        return self.__dict__ | {"full": (self.full.shape, at.astype(np.int32), self.full.reshape(-1)[at].astype(np.float32)), "full_max": None}
 
     def __setstate__(self, state: dict[str, object]) -> None:
         self.__dict__.update(state)
-        self.full = self.full.astype(float)
+        shape, at, weight = state["full"]
+        self.full = np.zeros(shape)
+        self.full.reshape(-1)[at] = weight
         self.full_max = self.full.reshape(len(self.full), self.blocks, BLOCK).max(axis=2)
 
     def search(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, queries: int, k: int, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +148,15 @@ class Model:
         self.index = None
         if not n:
             return
-        words, row, word, count = word_counts(pa.array([r[1] for r in rows], pa.large_string()))
+        # a few texts at a time, so that the driver needs little more than the index
+        parts = [(i, pa.array([r[1] for r in rows[i : i + BATCH_ROWS]], pa.large_string())) for i in range(0, n, BATCH_ROWS)]
+        words = pc.unique(pa.chunked_array([word_counts(texts)[0] for _, texts in parts]))
         self.words = words.filter(pc.not_equal(words, ""))
-        self.starts = pc.unique(pa.chunked_array([pc.utf8_slice_codeunits(self.words.filter(pc.greater(pc.utf8_length(self.words), k)), 0, k) for k in BEGINNINGS]).combine_chunks())
-        row, term, times = self.terms(words, row, word, count)
+        starts = [pc.utf8_slice_codeunits(self.words.filter(pc.greater(pc.utf8_length(self.words), k)), 0, k) for k in BEGINNINGS]
+        self.starts = pc.unique(pa.chunked_array(starts))
+        found = [[x.astype(np.int32) for x in (row + i, term, times)] for i, texts in parts for row, term, times in [self.terms(*word_counts(texts))]]
+        row, term, times = (np.concatenate(x) for x in zip(*found, strict=True))
+        del parts, starts, found
         toxic = np.bincount(term, self.label[row], len(self.words) + len(self.starts))
         held = np.bincount(term, minlength=len(toxic))
         self.factor = (np.log((n + 1) / (held + 1)) + 1) * np.log2(2 + toxic / np.maximum(1, held - toxic)) ** 2
