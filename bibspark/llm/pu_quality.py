@@ -2,12 +2,15 @@
 
 Trusted positives and unlabelled texts, with an estimated class prior, give an unbiased risk of
 a classifier; the part that stands for negatives is kept from going below zero (non-negative
-risk). The model is additive: each statistic of a text is cut at its quantiles and each
-interval has a weight.
+risk). The prior is estimated from the same two samples: where a classifier is surest, unlabelled
+texts are almost all positive, so their share over that of the positives bounds the prior. No
+negative label is used. The model is additive: each statistic of a text is cut at its quantiles
+and each interval has a weight.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,10 +21,12 @@ from pyspark.sql import functions as F
 
 from bibspark.llm.common import schema_with
 
-#: Bounds of the samples that the model is fitted on: texts of each kind, code points of each.
-MAX_SAMPLE, MAX_SAMPLE_CHARS = 6000, 20_000
+#: Bound of the samples that the model is fitted on: texts of each kind, of any length.
+MAX_SAMPLE = 6000
 INTERVALS = 10
 STEPS, RATE, DECAY = 600, 0.05, 1e-4
+#: Positives that a threshold of the prior's estimate leaves above it, at least.
+KEEP = 0.9
 
 _CLASS = np.full(256, 7, np.uint8)  # bytes of other letters
 for _chars, _kind in ((bytes(range(97, 123)), 0), (bytes(range(65, 91)), 1), (b"0123456789", 2), (b" \t\r\x0b\x0c", 3), (b"\n", 4), (b".,;:!?'\"-()", 5), (bytes(c for c in range(33, 127) if not chr(c).isalnum() and c not in b".,;:!?'\"-()"), 6)):
@@ -90,24 +95,35 @@ class Model:
     def margins(self, places: np.ndarray) -> np.ndarray:
         return self.weights[places].sum(axis=1) + self.bias
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
-        """Adam on prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]), l logistic."""
-        size = len(self.weights)
-        first, second = np.zeros(size + 1), np.zeros(size + 1)
+    def risk(self, positive: np.ndarray, unlabelled: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+        """The parts of the risk with their gradients (weights, then bias), l being logistic.
+
+        First prior * E_p[l(z)], then E_u[l(-z)] - prior * E_p[l(-z)], which stands for negatives.
+        """
         sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
         def gradient(places: np.ndarray, slope: np.ndarray) -> np.ndarray:
-            out = np.bincount(places.reshape(-1), np.repeat(slope, places.shape[1]), minlength=size)
+            out = np.bincount(places.reshape(-1), np.repeat(slope, places.shape[1]), minlength=len(self.weights))
             return np.append(out, slope.sum()) / len(places)
 
+        zp, zu = self.margins(positive), self.margins(unlabelled)
+        first = self.prior * np.logaddexp(0, -zp).mean()
+        second = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
+        g_second = gradient(unlabelled, sigmoid(zu)) - self.prior * gradient(positive, sigmoid(zp))
+        return first, self.prior * gradient(positive, -sigmoid(-zp)), second, g_second
+
+    def step(self, positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+        """The direction to go against: both parts' gradient, or, where the negatives' part is
+        below zero (overfitted), back out of that part alone."""
+        _, g_first, second, g_second = self.risk(positive, unlabelled)
+        return g_first + g_second if second >= 0 else -g_second
+
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray) -> None:
+        """Adam on the non-negative risk."""
+        size = len(self.weights)
+        first, second = np.zeros(size + 1), np.zeros(size + 1)
         for step in range(1, STEPS + 1):
-            zp, zu = self.margins(positive), self.margins(unlabelled)
-            negative = np.logaddexp(0, zu).mean() - self.prior * np.logaddexp(0, zp).mean()
-            g_negative = gradient(unlabelled, sigmoid(zu)) - self.prior * gradient(positive, sigmoid(zp))
-            if negative >= 0:
-                g = self.prior * gradient(positive, -sigmoid(-zp)) + g_negative
-            else:  # below zero the risk is overfitted: step back out
-                g = -g_negative
+            g = self.step(positive, unlabelled)
             g[:-1] += DECAY * self.weights
             first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
             move = RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -119,38 +135,75 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.margins(self.places(rows)), -40, 40)))
 
 
-def _gathered(documents: DataFrame) -> np.ndarray:
-    """Statistics of a bounded sample; the driver gets numbers, no texts."""
+def upper_bound(positive: np.ndarray, unlabelled: np.ndarray, keep: float = KEEP) -> float:
+    """The least share of unlabelled over positive scores above a threshold.
+
+    Thresholds have at least ``keep`` of the positives above them: few scores can't decide.
+    """
+    p, u = np.sort(positive), np.sort(unlabelled)
+    cuts = p[: int((1 - keep) * len(p)) + 1]
+    q_p = 1 - np.searchsorted(p, cuts) / len(p)
+    q_u = 1 - np.searchsorted(u, cuts) / len(u)
+    return float((q_u / q_p).min())
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, halves: tuple[np.ndarray, np.ndarray]) -> float:
+    """The share of positives among the unlabelled, by upper_bound() of two classifiers.
+
+    ``halves`` has 0 or 1 for each row; a text that is in both samples must be in the same half.
+    Each classifier tells one half of the positives from that of the unlabelled, and scores the
+    other halves. The lesser bound is the prior of a second round, whose lesser bound is the
+    estimate. One half if a half has no texts.
+    """
+    if any(not (h == k).any() for h in halves for k in (0, 1)):
+        return 0.5
+    prior = 0.5
+    for _ in range(2):
+        bounds = []
+        for own in (0, 1):
+            model = Model(*(x[h == own] for x, h in zip((positive, unlabelled), halves, strict=True)), prior)
+            bounds.append(upper_bound(*(model.margins(model.places(x[h != own])) for x, h in zip((positive, unlabelled), halves, strict=True))))
+        prior = min(1.0, *bounds)
+    return prior
+
+
+def _gathered(documents: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics of one text (the least) of each of a bounded number of ids, and their halves.
+
+    The driver gets numbers, no texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t.as_py()).tolist() for t in batch.column(0)]
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
+            rows = [statistics(t.as_py()).tolist() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    rows = documents.select("text").mapInArrow(run, "x array<double>").limit(2 * MAX_SAMPLE).collect()
-    return np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))
+    rows = documents.select("doc_id", "text").dropna().join(F.broadcast(ids), "doc_id")  # MAX_SAMPLE ids
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(run, schema_with(ids, "x array<double>"))
+    found = sorted(rows.collect(), key=lambda r: r["doc_id"])
+    half = [zlib.crc32(str(r["doc_id"]).encode()) // 3 % 2 for r in found]
+    return np.array([r["x"] for r in found]).reshape(-1, len(NAMES)), np.array(half, np.int64)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """A model from at most about MAX_SAMPLE trusted positives and as many unlabelled texts.
+    """A model from at most MAX_SAMPLE trusted positives and as many unlabelled texts.
 
-    Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1. Positives are those
-    of least hashed ids; unlabelled texts are drawn from all documents by a hash of their id,
-    whatever their labels. The class prior is the share of positives among all labelled rows of
-    those folds. Null labels, ids and texts and texts of over MAX_SAMPLE_CHARS code points are
-    left out. Without labels the prior is one half.
+    Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1, and of them only
+    those that say 1. Positives are those of least hashed ids; unlabelled texts are drawn from
+    all documents by a hash of their id, whatever their labels. Of an id's texts the least
+    counts, and of its labels the largest; null labels, ids and texts are left out. Without
+    positives or texts the prior is one half and every text scores it.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna()
     known = known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    prior = known.agg(F.avg("label")).first()[0]
-    trusted = known.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE).select("doc_id")
-    usable = documents.select("doc_id", "text").where(F.length("text") <= MAX_SAMPLE_CHARS)
-    positive = _gathered(usable.join(F.broadcast(trusted), "doc_id"))  # MAX_SAMPLE ids
+    trusted = known.where("label = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_SAMPLE)
     n = documents.select("doc_id").count()
-    share = int(min(1.0, MAX_SAMPLE / max(n, 1)) * (1 << 30))
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < share)
-    return Model(positive, _gathered(drawn), 0.5 if prior is None else float(prior))
+    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30))
+    # a little more than needed, of which the least draws stay
+    share = int(min(1.0, 1.2 * MAX_SAMPLE / max(n, 1)) * (1 << 30)) + 1
+    drawn = documents.where(F.col("doc_id").isNotNull() & (draw < share)).select("doc_id").distinct().orderBy(draw, "doc_id").limit(MAX_SAMPLE)
+    (positive, half_p), (unlabelled, half_u) = _gathered(documents, trusted), _gathered(documents, drawn)
+    return Model(positive, unlabelled, estimated_prior(positive, unlabelled, (half_p, half_u)))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
