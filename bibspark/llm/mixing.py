@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from bibspark.llm.common import staged, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Bound on what the driver solves; beyond it, mix() raises and nothing is dropped.
-MAX_PATTERNS = 2000
+#: Lists of more rows than this are joined by a shuffle instead of a broadcast.
+BROADCAST_ROWS = 20_000
 BINS = 4096
 FILL_PASSES = 4
 Pattern = tuple[str | None, ...]
@@ -46,6 +46,36 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, sh
         fixed |= {s: most * sizes[s] for s in over}
 
 
+def routed(sizes: dict[Pattern, int], quota: dict[str | None, float], repeats: int = 2) -> dict[tuple[Pattern, str | None], float]:
+    """The min-cost flow, for each set of sources that shared patterns connect by itself.
+
+    A pattern of one source that no other pattern has takes its quota as far as its repetitions
+    go, which is the flow in closed form; so sources that don't overlap cost a step each.
+    """
+    root = {s: s for s in quota}
+
+    def find(s: str | None) -> str | None:
+        while root[s] != s:
+            root[s] = root[root[s]]
+            s = root[s]
+        return s
+
+    for p in sizes:
+        for s in p[1:]:
+            root[find(s)] = find(p[0])
+    parts: dict[str | None, list[Pattern]] = {}
+    for p in sizes:
+        if p:
+            parts.setdefault(find(p[0]), []).append(p)
+    flow = {}
+    for own in parts.values():
+        if len(own) == 1 and len(own[0]) == 1:
+            flow[own[0], own[0][0]] = min(quota[own[0][0]], float(repeats * sizes[own[0]]))
+        else:
+            flow |= min_cost_flow({p: sizes[p] for p in own}, {s: quota[s] for p in own for s in p}, repeats)
+    return flow
+
+
 def min_cost_flow(sizes: dict[Pattern, int], quota: dict[str | None, float], repeats: int = 2) -> dict[tuple[Pattern, str | None], float]:
     """Tokens from each pattern to each source: as many as quotas allow, at least cost.
 
@@ -105,7 +135,10 @@ def mix(documents: DataFrame, members: Column, seed: int = 17, weights: Sequence
     document is taken a whole number of times: every document of a pattern as often as its flow
     fills the pattern, and once more those with the smallest seeded hashes until the rest is
     met. Only the hash bin in which the rest runs out is ordered, so no source meets in one
-    task; what is still open there is filled by single documents that fit, largest first.
+    task; what is still open there is less than the document at which it ran out, and up to
+    FILL_PASSES documents that fit, largest first, make it less. So a pattern's taken words are
+    at most its flow (rounded) and miss it by less than its largest document. The driver gets
+    one row for each pattern; only patterns that overlap cost more than a step each.
     Texts without words (null, empty) have size 0 and take nothing. Rows equal in id and text
     are taken alike. Other columns are ignored. An empty table gives no rows. Reruns give the
     same rows. Texts are read once.
@@ -138,24 +171,23 @@ def _mixed(documents: DataFrame, members: Column, carry: bool, seed: int, weight
     rows = staged(full.select("doc_id", "members", "mix_size", "mix_members", "mix_draw", "mix_bin"), "mix-sizes")
     if not carry:
         full = rows
-    found = rows.groupBy("mix_members").agg(F.sum("mix_size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"over {MAX_PATTERNS} membership patterns")
+    found = sorted(rows.groupBy("mix_members").agg(F.sum("mix_size").alias("size")).collect(), key=lambda r: [by_code_point(s) for s in r["mix_members"]])
     sizes: dict[Pattern, int] = {tuple(r["mix_members"]): int(r["size"]) for r in found}
     by_name: dict[str | None, int] = {}
     for p, size in sizes.items():
         for s in p:
             by_name[s] = by_name.get(s, 0) + size
-    flow = min_cost_flow(sizes, targets(by_name, weights, share, float(repeats)), repeats) if by_name else {}
+    flow = routed(sizes, targets(by_name, weights, share, float(repeats)), repeats) if by_name else {}
     plan: list[tuple[int, list[str | None], int, int]] = []
     for i, (p, size) in enumerate(sizes.items()):
         tokens = round(sum(flow.get((p, s), 0.0) for s in p))
         whole = min(repeats, tokens // size) if size else 0
         plan.append((i, list(p), whole, tokens - whole * size if whole < repeats else 0))
 
-    # every list below has a row or FILL_PASSES rows for each pattern: safe to broadcast
+    # every list below has a row or FILL_PASSES rows for each pattern
     def small(data: list, schema: str) -> DataFrame:
-        return F.broadcast(spark.createDataFrame(data, schema))
+        rows = spark.createDataFrame(data, schema)
+        return F.broadcast(rows) if len(data) <= BROADCAST_ROWS else rows
 
     def planned(df: DataFrame, plans: DataFrame) -> DataFrame:
         return df.join(plans, df["mix_members"].eqNullSafe(plans["mix_plan_for"])).drop("mix_plan_for")
@@ -201,7 +233,11 @@ def _mixed(documents: DataFrame, members: Column, carry: bool, seed: int, weight
 
 
 def by_source(mixed: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> dict[str | None, tuple[int, float]]:
-    """Size and target of each source, from rows of mix(); as many as mix() has bounded."""
+    """Size and target of each source, from rows of mix(): one entry a source.
+
+    A source that only texts without words have is there with size and target 0; rows without
+    members have no source; repeated rows count each; an empty table gives no entries.
+    """
     found = mixed.select("mix_size", F.explode(F.array_distinct("members")).alias("source")).groupBy("source").agg(F.sum("mix_size").alias("size")).collect()
     sizes = {r["source"]: int(r["size"]) for r in found}
     return {s: (sizes[s], goal) for s, goal in targets(sizes, weights, share, most).items()} if sizes else {}

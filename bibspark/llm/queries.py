@@ -86,8 +86,8 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' targets."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
     sizes = mixing.by_source(mixed)
-    # one row for each source, which mix() has bounded
-    info = F.broadcast(spark.createDataFrame([(s, size, goal) for s, (size, goal) in sizes.items()], "source string, source_size long, target double"))
+    info = spark.createDataFrame([(s, size, goal) for s, (size, goal) in sizes.items()], "source string, source_size long, target double")
+    info = F.broadcast(info) if len(sizes) <= mixing.BROADCAST_ROWS else info
     rows = mixed.select("doc_id", F.col("members")[0].alias("own"), F.col("mix_size").alias("size"), F.col("mix_taken").alias("taken"))
     return rows.join(info, rows["own"].eqNullSafe(info["source"])).select("doc_id", "size", "source_size", "target", "taken", F.col("own").alias("source"))
 
