@@ -121,15 +121,36 @@ def current_map(spark: SparkSession, sizes: Sequence[int], n_shards: int, path:
     return stored
 
 
+#: Equal rows that one task makes from their count.
+COPIES = 1000
+
+
 def sized(documents: DataFrame, n_slots: int) -> DataFrame:
-    """doc_id, size, text_crc32 and virtual_slot of each document; null text has no bytes."""
+    """doc_id, size, text_crc32 and virtual_slot of each document; null text has no bytes.
+
+    Rows equal in id and text are counted, numbered and hashed with their number, so that they
+    spread over the slots, whatever files they came from.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(
+    rows = documents.select(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
-        virtual_slot(n_slots, F.col("doc_id"), F.xxhash64("text")).alias("virtual_slot"),
+        F.xxhash64("text").alias("text_hash"),
     )
+    rows = rows.groupBy("doc_id", "size", "text_crc32", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    rows = staged(rows, "shard-rows")
+
+    def numbered(some: DataFrame, first: Column, last: Column) -> DataFrame:
+        return some.withColumn("copy", F.explode(F.sequence(first, last)))
+
+    many = rows.where(F.col("n") > COPIES)
+    blocks = numbered(many, F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)).withColumnRenamed("copy", "block").repartition("doc_id", "text_hash", "block")
+    begin = F.col("block") * COPIES
+    few = numbered(rows.where(F.col("n") <= COPIES), F.lit(0).cast("long"), F.col("n") - 1)
+    both = few.unionByName(numbered(blocks, begin, F.least(begin + COPIES, F.col("n")) - 1).drop("block"))
+    plain, copied = virtual_slot(n_slots, F.col("doc_id"), F.col("text_hash")), virtual_slot(n_slots, F.col("doc_id"), F.col("text_hash"), F.col("copy"))
+    return both.select("doc_id", "size", "text_crc32", F.when(F.col("copy") == 0, plain).otherwise(copied).alias("virtual_slot"))
 
 
 def shard(documents: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
@@ -138,9 +159,9 @@ def shard(documents: DataFrame, n_shards: int, n_slots: int = N_SLOTS, map_path:
     The text is read once; after that only narrow rows move. A place in a shard is the slot's
     offset (from per-slot counts) plus the place in the slot, so no task orders more than a
     slot. With ``map_path`` the stored map decides, and more shards than it has extend it; without
-    it a map is made for this call. Null ids and texts are hashed and placed like others, repeated rows stay separate
-    rows, extra columns are ignored, and an empty table gives no rows. Rows equal in id and
-    text share a slot: a slot is the unit that is balanced.
+    it a map is made for this call. Null ids and texts are hashed and placed like others,
+    repeated rows stay separate rows and spread over the slots, extra columns are ignored, and
+    an empty table gives no rows. A slot is the unit that is balanced.
     """
     if n_shards < 1 or n_slots < n_shards:
         raise ValueError("n_slots must be at least n_shards, which must be at least 1")
