@@ -23,9 +23,8 @@ from bibspark.llm.common import schema_with
 WORD = re.compile(r"[^\W_]+")
 #: Scripts without spaces (Thai, Lao, Burmese, Khmer, kana, Han): each character is a word.
 UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
-#: Errors allowed for each word of an item, and words below which an item proves nothing; a
-#: character of an unspaced script is half a word here.
-RATE, LEAST_WORDS = 0.2, 5
+#: Errors allowed for each word of an item; an item of under five words must stand unchanged.
+RATE = 0.2
 #: Items go to the tasks in blocks of so many characters, whatever the benchmark's size.
 BLOCK_CHARS = 32 << 20
 
@@ -68,7 +67,7 @@ class Matcher:
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             words = normal(text)
-            if len(words) - sum(map(bool, map(UNSPACED.match, words))) / 2 < LEAST_WORDS:
+            if not words:
                 continue
             budget = int(rate * len(words))
             at = len(self.items)
@@ -116,7 +115,8 @@ class Matcher:
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK_CHARS characters."""
-    items = benchmark.select("item_id", "text").dropna()
+    key = F.col("item_id").cast("long" if benchmark.schema["item_id"].dataType.typeName() in ("byte", "short", "integer", "long") else "string")
+    items = benchmark.select(key.alias("item_id"), "text").dropna()
     n = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
     for i in range(n):
         yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()]
@@ -131,11 +131,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE)
     """doc_id, item_id, distance, item_words and end_word for each item that a text contains.
 
     Whole texts are searched, row by row, with no shuffle. Items with null id or text and items
-    of under LEAST_WORDS words match nothing, null and empty texts contain nothing, of items
-    with the same id each is searched and the rows may repeat, repeated documents give repeated
-    rows, and other columns are ignored. Empty tables give no rows.
+    without words match nothing, items of under five words match unchanged only, null and empty
+    texts contain nothing, of items with the same id each is searched and the rows may repeat,
+    repeated documents give repeated rows, and other columns are ignored. Empty tables give no
+    rows. ``item_id`` is a long if it is a whole number, else a string.
     """
-    schema = schema_with(documents.select("doc_id"), "item_id long, distance int, item_words int, end_word int")
+    whole = benchmark.schema["item_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    schema = schema_with(documents.select("doc_id"), f"item_id {'long' if whole else 'string'}, distance int, item_words int, end_word int")
     out = None
     for items in _blocks(benchmark):
         make = _matcher(documents, items, rate)
@@ -145,7 +147,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE)
             for batch in batches:
                 rows = [(i, *m) for i, t in enumerate(batch.column(1)) for m in matcher.matches(t.as_py())]
                 cols = list(zip(*rows, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                kinds = (pa.int64() if whole else pa.string(), pa.int32(), pa.int32(), pa.int32())
                 yield pa.record_batch(
                     [batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))],
                     names=["doc_id", "item_id", "distance", "item_words", "end_word"],
@@ -157,7 +159,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, rate: float = RATE)
 
 
 def cleaned(documents: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The documents that contain no item; rows are judged where they are, with no shuffle."""
+    """The documents that contain no item; rows are judged where they are, with no shuffle.
+
+    Columns stay, whatever their names; null and empty texts contain nothing and stay, repeated
+    rows are judged alike, and an empty table or benchmark changes nothing. Items are those of
+    contaminated().
+    """
     at = documents.columns.index("text")
     for items in _blocks(benchmark):
         make = _matcher(documents, items, rate)
