@@ -14,9 +14,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
-COLLECTIVE = ("collaboration", "committee", "consortium", "group", "initiative", "investigators", "network", "study", "team")
+# Words that tell of a group of people.
+COLLECTIVE = ("collaboration", "consortium", "committee", "group", "initiative", "network", "team", "study", "investigators")
 _OUTER = r"(?U)^\s+|\s+$"
 _NOT_WORD = re.compile(r"[\W]+")
 
@@ -92,6 +93,19 @@ def is_collective_name(name: Column) -> Column:
     return F.coalesce(F.arrays_overlap(F.split(normalize_text(name), " "), F.array(*map(F.lit, COLLECTIVE))), F.lit(False))
 
 
+@F.pandas_udf(ArrayType(BooleanType()))
+def collective_names(names: pd.Series) -> pd.Series:
+    """is_collective_name() of each name of an array; null for null."""
+    known: dict[str, bool] = {}
+
+    def told(name: str | None) -> bool | None:
+        if name is not None and name not in known:
+            known[name] = not set(normalized(name).split(" ")).isdisjoint(COLLECTIVE)
+        return None if name is None else known[name]
+
+    return pd.Series([None if row is None else [told(n) for n in row] for row in names], dtype=object)
+
+
 def stable_work_key(work_id: Column, doi: Column) -> Column:
     """The DOI if there is one, else the work's own id."""
     return F.coalesce(F.concat(F.lit("doi:"), normalize_doi(doi)), work_id)

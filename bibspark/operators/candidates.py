@@ -2,38 +2,103 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from bibspark.functions.text import normalize_doi, normalize_text
+from bibspark.operators.keys import join_same, spread
+from bibspark.staging import staged
 
-#: A work is found by so many of its title's rarest words.
-INDEX_WORDS = 8
+KEY = ["bib_id", "index"]
+#: Works, and references, that meet in one task.
+BLOCK_WORKS, BLOCK_REFERENCES = 20_000, 20_000
 
 
 def lookup(references: DataFrame, catalogue: DataFrame, doi: str = "doi", out: str = "found") -> DataFrame:
     """References with the catalogue's work of the same DOI, or null; of several the least id's."""
     works = catalogue.select(normalize_doi(F.col("work.doi")).alias("_of_doi"), F.col("work").alias(out)).where("_of_doi is not null")
-    first = works.groupBy("_of_doi").agg(F.min_by(out, F.col(f"{out}.id")).alias(out))
-    return references.join(first, F.col(doi) == F.col("_of_doi"), "left").drop("_of_doi")
+    first = works.groupBy("_of_doi").agg(F.min_by(out, F.struct(f"{out}.id", F.to_json(out))).alias(out))
+    by = [c for c, kind in references.dtypes if not kind.startswith(("map", "variant"))]
+    return references.withColumn("_doi_key", spread(doi, *by)).join(first, F.col("_doi_key") == F.col("_of_doi"), "left").drop("_of_doi", "_doi_key")
 
 
-def search(references: DataFrame, catalogue: DataFrame, limit: int = 5, index_words: int = INDEX_WORDS) -> DataFrame:
+def _ranked(words: pa.Array, places: np.ndarray, weights: np.ndarray, asked: pa.ListArray, works: int, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each list of words its best works: (list, work, weight) by weight, then by place.
+
+    ``words`` and ``places`` are an inverted index: the works (by place) that hold each word,
+    sorted by word; a work's weight is the sum over the words that it shares.
+    """
+    firsts = np.nonzero(np.append(True, pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))[0] if len(words) else np.zeros(0, np.int64)
+    ends = np.append(firsts, len(words))
+    known = pc.index_in(asked.flatten(), value_set=words.take(pa.array(firsts)))
+    known = pc.fill_null(known, -1).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.list_value_length(asked), 0).to_numpy(zero_copy_only=False)
+    at, out = 0, ([], [], [])
+    for i, n in enumerate(sizes):
+        own = known[at : at + n]
+        at += n
+        hits = [(ends[k], ends[k + 1]) for k in own[own >= 0]]
+        if not hits:
+            continue
+        place = np.concatenate([places[a:b] for a, b in hits])
+        # each work's words in one order, so that equal sets have equal sums
+        total = np.bincount(place, np.concatenate([weights[a:b] for a, b in hits]), works)
+        found = np.nonzero(total)[0]
+        score = np.round(total[found], 9)
+        if len(found) > limit:
+            near = score >= np.partition(score, -limit)[-limit]
+            found, score = found[near], score[near]
+        best = np.lexsort((found, -score))[:limit]
+        for column, values in zip(out, (np.full(len(best), i), found[best], score[best]), strict=True):
+            column.append(values)
+    return tuple(np.concatenate(c) if c else np.zeros(0) for c in out)
+
+
+def search(references: DataFrame, catalogue: DataFrame, limit: int = 5) -> DataFrame:
     """bib_id, index, pos (from 1) and work: the ``limit`` works that share the rarest words.
 
-    An inverted index holds each title's ``index_words`` rarest words, so that a common word
-    costs no long list unless titles have nothing rarer. A shared word counts by its inverse
-    document frequency; ties go to the lesser work id.
+    A shared title word counts 1 / ln(n + 1.5), n being the number of works with the word; ties
+    go to the lesser work id. All words count. Works and references meet in blocks: each pair of
+    blocks is one task with its own inverted index, which keeps the best few works of each
+    reference, so rows grow with the number of blocks and not with the length of a word's list.
+    Of works that share an id one is searched; null ids are works of their own.
     """
     works = catalogue.select(F.col("work.id").alias("id"), normalize_text(F.col("work.title")).alias("title")).groupBy("id").agg(F.min("title").alias("title"))
-    titles = works.select("id", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).where("word <> ''")
-    spread = titles.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rare = Window.partitionBy("id").orderBy("n", "word")
-    index = titles.join(spread, "word").withColumn("k", F.row_number().over(rare)).where(F.col("k") <= index_words)
-    index = index.select("word", "id", (1 / F.log(F.col("n") + 1.5)).alias("weight"))
-    asked = references.select("bib_id", "index", F.explode(F.array_distinct(F.split(normalize_text(F.col("raw")), " "))).alias("word"))
-    hits = asked.join(index, "word").groupBy("bib_id", "index", "id").agg(F.round(F.sum("weight"), 9).alias("weight"))
-    best = Window.partitionBy("bib_id", "index").orderBy(F.desc("weight"), "id")
-    top = hits.withColumn("pos", F.row_number().over(best)).where(F.col("pos") <= limit)
-    full = catalogue.select(F.col("work.id").alias("id"), "work").groupBy("id").agg(F.first("work").alias("work"))
-    return top.join(full, "id").select("bib_id", "index", "pos", "work")
+    titles = staged(works.select("id", F.explode(F.array_distinct(F.split("title", " "))).alias("word")).where("word <> ''"), "search-words")
+    weight = (1 / F.log(F.count(F.lit(1)) + 1.5)).alias("weight")
+    spreads = titles.groupBy("word").agg(weight)
+    index = titles.join(spreads, "word")
+    asked = references.select(*KEY, F.array_distinct(F.split(normalize_text(F.col("raw")), " ")).alias("words")).where(F.size("words") > 0)
+    asked = staged(asked, "search-references")
+    n_works = max(1, -(-titles.select("id").distinct().count() // BLOCK_WORKS))
+    n_asked = max(1, -(-asked.count() // BLOCK_REFERENCES))
+    index = index.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_works)).cast("int"))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64(*KEY), F.lit(n_asked)).cast("int"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_works - 1))))
+
+    def best(cell: tuple, refs: pa.Table, own: pa.Table) -> pa.Table:
+        own = own.sort_by([("word", "ascending"), ("id", "ascending")])
+        ids = pc.unique(own["id"]).combine_chunks() if isinstance(pc.unique(own["id"]), pa.ChunkedArray) else pc.unique(own["id"])
+        ids = ids.take(pc.array_sort_indices(ids))
+        places = pc.index_in(own["id"], value_set=ids).to_numpy().astype(np.int64)
+        lists = refs["words"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        words = own["word"].combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) and words.num_chunks else words
+        row, work, score = _ranked(words, places, own["weight"].to_numpy(), lists, len(ids), limit) if own.num_rows else (np.zeros(0),) * 3
+        rows = pa.array(row.astype(np.int64))
+        return pa.table({**{k: refs[k].take(rows) for k in KEY}, "id": ids.take(pa.array(work.astype(np.int64))), "weight": pa.array(score.astype(float))})
+
+    fields = {f.name: f for f in asked.schema.fields}
+    schema = StructType([*(fields[k] for k in KEY), StructField("id", works.schema["id"].dataType), *StructType.fromDDL("weight double").fields])
+    cell = ["part", "block"]
+    hits = asked.groupBy(*cell).cogroup(index.groupBy(*cell)).applyInArrow(best, schema)
+    order = Window.partitionBy(*KEY).orderBy(F.desc("weight"), "id")
+    top = hits.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
+    full = catalogue.select(F.col("work.id").alias("id"), "work").groupBy("id").agg(F.min_by("work", F.to_json("work")).alias("work"))
+    return join_same(top, full, ["id"]).select(*KEY, "pos", "work")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.text import normalize_name, normalize_orcid, short_openalex_id, stripped
 from bibspark.operators.components import connected_components
+from bibspark.operators.keys import spread
 
 AUTHORSHIP = ["bib_id", "index", "pos"]
 
@@ -36,7 +37,7 @@ def person_keys(authorships: DataFrame) -> DataFrame:
     pairs = rows.where(F.size("ids") > 1).select("node", F.explode(F.slice("ids", 2, 2)).alias("other"), "bib_id")
     roots = connected_components(pairs.select("node", node(F.col("other")).alias("other")), "node", "other", name="identity")
     roots = roots.select(F.col("node").alias("_node"), "root")
-    rows = rows.join(roots, F.col("node") == F.col("_node"), "left").drop("_node")
+    rows = rows.withColumn("_spread", spread("node", *AUTHORSHIP)).join(roots, F.col("_spread") == F.col("_node"), "left").drop("_node", "_spread")
     bare = lambda n: F.substring(F.substring_index(n, "\x01", -1), F.lit(2), F.lit(1 << 30))
     rows = rows.withColumn("own", bare(F.coalesce("root", "node")))
     known = rows.where("own is not null").groupBy(F.col("bib_id").alias("_bib"), F.col("name").alias("_name"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.similarity import author_similarity, combined_score, partial_ratio, token_set_ratio, year_similarity
 from bibspark.functions.text import family_name, normalize_doi, normalize_text, stable_work_key
+from bibspark.operators.keys import join_same
 from bibspark.schemas import MISSING, MatchConfig
 
 KEY = ["bib_id", "index"]
@@ -73,7 +74,7 @@ def decide(references: DataFrame, scored: DataFrame, config: MatchConfig | None
         F.array_sort(F.collect_list(F.struct("rank", candidate.alias("c")))).alias("_top"),
         F.max(F.when(F.col("rank") == 1, F.struct("score", "title_score", "doi_matches", "next"))).alias("_first"),
     )
-    rows = references.select(*KEY).join(found, KEY, "left")
+    rows = join_same(references.select(*KEY), found, KEY, "left")
     best, margin = F.col("_first"), F.col("_first.score") - F.col("_first.next")
     low, poor = best["score"] < config.min_confidence, (best["title_score"] < 0.55) & ~best["doi_matches"]
     close = F.coalesce(margin < config.min_margin, F.lit(False))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.text import casefolded, stable_work_key
 from bibspark.operators.identity import person_keys
+from bibspark.operators.keys import join_same
+from bibspark.staging import staged
 
 UNKNOWN = "Unknown author"
 
@@ -47,24 +49,55 @@ def credited(keyed: DataFrame) -> DataFrame:
 
 
 def people(credits: DataFrame) -> DataFrame:
-    """key, display_name, aliases, work_ids, counts and identifiers of each person.
+    """key, display_name, folded_name, aliases, work_ids, counts and identifiers of each person.
 
-    Fractions are added by denominator, least first: the same sum on any cluster, and no list
-    of a person's works is needed for it.
+    Credits are read once: they are summed by person, name and number of co-authors, then by
+    person. Fractions are added by denominator, least first: the same sum on any cluster.
     """
     seen = F.struct("index", "pos")
-    by = ["bib_id", "key"]
-    parts = credits.groupBy(*by, "persons").agg(F.count(F.lit(1)).alias("n"))
-    parts = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("persons", "n"))).alias("_parts"), F.sum("n").alias("full_count"))
-    fraction = F.aggregate("_parts", F.lit(0.0), lambda a, p: a + p["n"] / p["persons"])
-    names = credits.groupBy(*by, F.col("author.display_name").alias("shown")).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"))
-    rank = F.struct("n", F.length("shown"), "folded", -F.col("seen.index"), -F.col("seen.pos"))
-    names = names.withColumn("folded", casefolded("shown"))
-    named = names.groupBy(*by).agg(F.max_by("shown", rank).alias("display_name"), F.array_sort(F.collect_list("shown")).alias("aliases"))
-    filled = lambda c: F.min_by(F.col(f"author.{c}"), F.when(F.nullif(F.col(f"author.{c}"), F.lit("")).isNotNull(), seen)).alias(c)
-    rest = credits.groupBy(*by).agg(F.array_sort(F.collect_set("work_key")).alias("work_ids"), filled("orcid"), filled("openalex_id"), F.min(seen).alias("first_seen"))
-    rows = parts.join(named, by).join(rest, by)
-    return rows.select("bib_id", "key", F.coalesce(F.nullif("display_name", F.lit("")), F.lit(UNKNOWN)).alias("display_name"), "aliases", "work_ids", "full_count", fraction.alias("fractional_count"), "orcid", "openalex_id", "first_seen")
+    own = lambda c: F.when(F.nullif(F.col(f"author.{c}"), F.lit("")).isNotNull(), F.struct("index", "pos", F.col(f"author.{c}").alias("value")))
+    names = credits.groupBy("bib_id", "key", F.col("author.display_name").alias("shown"), "persons").agg(
+        F.count(F.lit(1)).alias("n"), F.min(seen).alias("seen"), F.collect_set("work_key").alias("works"), F.min(own("orcid")).alias("orcid"), F.min(own("openalex_id")).alias("openalex_id")
+    )
+    # one more pass gathers a person: a row for each name and number of co-authors
+    each = F.struct("persons", "n", "shown", casefolded("shown").alias("folded"), "seen", "works")
+    rows = names.groupBy("bib_id", "key").agg(
+        F.array_sort(F.collect_list(each)).alias("all"), F.sum("n").alias("full_count"), F.min("seen").alias("first_seen"), F.min("orcid").alias("orcid"), F.min("openalex_id").alias("openalex_id")
+    )
+    aliases = F.array_sort(F.array_distinct(F.transform("all", lambda x: x["shown"])))
+
+    def ranked_name(name: Column) -> Column:
+        rows = F.filter("all", lambda x: x["shown"].eqNullSafe(name))
+        first = F.array_min(F.transform(rows, lambda x: x["seen"]))
+        count = F.aggregate(rows, F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        return F.struct(count.alias("n"), F.length(name).alias("length"), rows[0]["folded"].alias("folded"), (-first["index"]).alias("index"), (-first["pos"]).alias("pos"), name.alias("shown"))
+
+    # the sum over denominators, least first; rows are sorted by them
+    state = F.struct(F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("n"), F.lit(1).cast("long").alias("persons"))
+    add = lambda a: a["total"] + a["n"] / a["persons"]
+    fraction = F.aggregate(
+        "all",
+        state,
+        lambda a, x: F.when(a["persons"] == x["persons"], F.struct(a["total"].alias("total"), (a["n"] + x["n"]).alias("n"), a["persons"].alias("persons"))).otherwise(F.struct(add(a).alias("total"), x["n"].alias("n"), x["persons"].alias("persons"))),
+        add,
+    )
+    best = F.array_max(F.transform("aliases", ranked_name))
+    works = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: x["works"]))))
+    rows = rows.withColumn("aliases", F.filter(aliases, lambda x: x.isNotNull())).withColumn("best", best)
+    named = F.nullif("best.shown", F.lit("")).isNotNull()
+    return rows.select(
+        "bib_id",
+        "key",
+        F.when(named, F.col("best.shown")).otherwise(UNKNOWN).alias("display_name"),
+        F.when(named, F.col("best.folded")).otherwise(UNKNOWN.casefold()).alias("folded_name"),
+        "aliases",
+        works.alias("work_ids"),
+        "full_count",
+        fraction.alias("fractional_count"),
+        F.col("orcid.value").alias("orcid"),
+        F.col("openalex_id.value").alias("openalex_id"),
+        "first_seen",
+    )
 
 
 def ranking_order(ranking: str = "full") -> list[Column]:
@@ -79,21 +112,20 @@ def ranking_order(ranking: str = "full") -> list[Column]:
 
 def ranked(persons: DataFrame, ranking: str = "full", top: int = 0) -> DataFrame:
     """Adds ``rank`` within each bibliography; ``top`` of 0 keeps all."""
-    rows = persons.withColumn("folded_name", casefolded("display_name"))
     order = Window.partitionBy("bib_id").orderBy(*ranking_order(ranking))
-    rows = rows.withColumn("rank", F.row_number().over(order)).drop("folded_name")
+    rows = persons.withColumn("rank", F.row_number().over(order)).drop("folded_name")
     return rows.where(F.col("rank") <= top) if top > 0 else rows
 
 
 def top_people(persons: DataFrame, ranking: str = "full", top: int = 25) -> DataFrame:
     """The top of a single bibliography, without a sort of the rest."""
-    return persons.withColumn("folded_name", casefolded("display_name")).orderBy(*ranking_order(ranking)).limit(top).drop("folded_name")
+    return persons.orderBy(*ranking_order(ranking)).limit(top).drop("folded_name")
 
 
 def share(persons: DataFrame, summary: DataFrame) -> DataFrame:
     """Adds the share of the bibliography's distinct matched works."""
     works = summary.select("bib_id", "distinct_matched_works")
-    rows = persons.join(works, "bib_id")
+    rows = join_same(persons, works, ["bib_id"])
     return rows.withColumn("share", F.when(F.col("distinct_matched_works") > 0, F.col("full_count") / F.col("distinct_matched_works")).otherwise(0.0)).drop("distinct_matched_works")
 
 
@@ -117,11 +149,12 @@ def summary(included: DataFrame, persons: DataFrame) -> DataFrame:
         F.sum(hidden_authors(F.col("work"), F.col("has_et_al"), F.col("visible_surnames"))).cast("long").alias("hidden_authors_expanded"),
     )
     ranks = persons.groupBy("bib_id").agg(F.count(F.lit(1)).alias("ranked_people"))
-    return rows.join(ranks, "bib_id", "left").withColumn("ranked_people", F.coalesce("ranked_people", F.lit(0)).cast("long"))
+    return join_same(rows, ranks, ["bib_id"], "left").withColumn("ranked_people", F.coalesce("ranked_people", F.lit(0)).cast("long"))
 
 
 def aggregate(resolutions: DataFrame, deduplicate: bool = True, collectives: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Resolutions with duplicates told, people, summary and warnings."""
     marked = include(resolutions, deduplicate)
-    persons = people(credited(person_keys(authorships(marked, collectives))))
+    # ranking, shares and summary all read the people
+    persons = staged(people(credited(person_keys(authorships(marked, collectives)))), "people")
     return marked, persons, summary(marked, persons), warnings(marked, collectives)

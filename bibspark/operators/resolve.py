@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bibspark.functions.text import normalize_doi
 from bibspark.operators.candidates import lookup, search
+from bibspark.operators.keys import join_same, spread
 from bibspark.operators.matching import KEY, decide, score
 from bibspark.operators.merge import merge_works
 from bibspark.schemas import CANDIDATE, WORK, MatchConfig
@@ -38,7 +39,7 @@ class Catalogue:
         if errors is None:
             return rows.withColumn("_error", F.lit(None).cast("string"))
         failed = errors.groupBy(F.col(on).alias("_on")).agg(F.concat(F.lit(f"{label}: "), F.min("error")).alias("_error"))
-        rows = rows.join(failed, F.col(key) == F.col("_on"), "left").drop("_on")
+        rows = rows.withColumn("_failed_key", spread(key, *KEY, "raw")).join(failed, F.col("_failed_key") == F.col("_on"), "left").drop("_on", "_failed_key")
         return rows if out is None else rows.withColumn(out, F.when(F.col("_error").isNull(), F.col(out)))
 
     def find(self, rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -90,9 +91,9 @@ def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalog
         todo = staged(_note(todo), "resolve-search")
     else:
         todo = todo.withColumn("_searched", F.lit(False))
-    scored = staged(score(todo.join(first, KEY)), "resolve-scored") if first is not None else None
+    scored = staged(score(join_same(todo, first, KEY)), "resolve-scored") if first is not None else None
     decided = decide(todo, scored, config) if scored is not None else None
-    rows = todo.join(decided, KEY) if decided is not None else todo.withColumns({"accepted": F.lit(False)})
+    rows = join_same(todo, decided, KEY) if decided is not None else todo.withColumns({"accepted": F.lit(False)})
     rows = rows.withColumn("method", F.when(F.col("_searched"), "crossref_search"))
     if secondary:
         rows = staged(rows, "resolve-decided")
@@ -100,12 +101,12 @@ def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalog
         open_, more = secondary.find(open_, config.candidate_limit)
         open_ = open_.withColumn("_also", F.col("_error").isNull())
         open_ = staged(_note(open_), "resolve-fallback")
-        second = score(open_.join(more.withColumn("pos", F.col("pos") + config.candidate_limit), KEY))
+        second = score(join_same(open_, more.withColumn("pos", F.col("pos") + config.candidate_limit), KEY))
         if scored is not None:
-            kept = scored.join(open_.select(*KEY), KEY, "left_semi")
+            kept = join_same(scored, open_.select(*KEY), KEY, "left_semi")
             columns = [*KEY, "pos", "work", "doi_matches", "score", "title_score", "author_score", "year_score", "venue_score"]
             second = kept.select(*columns).unionByName(second.select(*columns))
-        again = open_.join(decide(open_, second, config), KEY)
+        again = join_same(open_, decide(open_, second, config), KEY)
         method = F.when(F.col("_searched") & F.col("_also"), "crossref_and_openalex_search").when(F.col("_also"), "openalex_search").when(F.col("_searched"), "crossref_search")
         again = again.withColumn("method", method).drop("_also")
         rows = again if decided is None else settled.unionByName(again)

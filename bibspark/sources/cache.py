@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from bibspark.sources.payload import _get
 
-SECRET = {"access_token", "api_key", "token"}
+# Parameters that are no part of a request's identity.
+SECRET = {"api_key", "token", "access_token"}
 SCHEMA = "key_digest string, key string, created_at double, value string"
 
 

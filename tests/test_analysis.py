@@ -104,6 +104,31 @@ def test_align():
     assert [m["orcid"] for m in twins] == [None, "1", "2"]
 
 
+def test_align_by_brute_force():
+    import random
+
+    from bibspark.operators.merge import alignment_keys, blended
+
+    r = random.Random(3)
+    names = ("display_name", "given", "family", "orcid", "openalex_id", "provider_id", "is_collective")
+    for _ in range(3000):
+        people = [author(f"{r.choice('AB')}{r.choice(['nn', 'l'])} {r.choice(['Roe', 'Doe'])}", r.choice([None, "Roe"]), orcid=r.choice([None, "1"]), given=r.choice([None, "", "Bo"])) for _ in range(r.randrange(1, 9))]
+        people = [dict(zip(names, p, strict=True)) for p in people]
+        at = r.randrange(len(people) + 1)
+        own, other = people[:at], people[at:]
+        used, expected = [], []
+        for a in own:
+            for kind in (0, 1):
+                same = [i for i, e in enumerate(other) if i not in used and alignment_keys(e)[kind] == alignment_keys(a)[kind]]
+                if len(same) == 1:
+                    used.append(same[0])
+                    expected.append(blended(a, other[same[0]]))
+                    break
+            else:
+                expected.append(a)
+        assert align(own, other) == expected + [e for i, e in enumerate(other) if i not in used]
+
+
 def decisions(spark, raw, *candidates, doi=None, years=(), surnames=(), **config):
     refs = spark.createDataFrame([(1, 1, raw, doi, list(years), list(surnames))], "bib_id long, index int, raw string, doi string, years array<int>, visible_surnames array<string>")
     cands = spark.createDataFrame([(1, 1, i, w) for i, w in enumerate(candidates, 1)], f"bib_id long, index int, pos int, work {WORK}")
