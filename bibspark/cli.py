@@ -3,29 +3,39 @@
 from __future__ import annotations
 
 import argparse
+import os
+import re
 import sys
+import time
 from pathlib import Path
 from typing import TextIO
 
 from pyspark.sql import SparkSession
 
 from bibspark import output
-from bibspark.operators.resolve import Catalogue
+from bibspark.operators.resolve import CandidateSource, Catalogue
 from bibspark.plans.analysis import Analysis
 from bibspark.schemas import MatchConfig, providers
 from bibspark.sources.files import from_text
+from bibspark.sources.service import PRIMARY_INTERVAL, SECONDARY_INTERVAL, Client, ServiceCatalogue
 from bibspark.sources.split import parse_references
+from bibspark.staging import shared_dir
 
-VERSION = "0.1"
+VERSION = "0.2"
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="bibspark", description=__doc__)
-    p.add_argument("input", help="a text, BibTeX or RIS file, or - for standard input")
+    p.add_argument("input", nargs="?", default="-", help="a text, BibTeX or RIS file, or - for standard input (default)")
     p.add_argument("--version", action="version", version=VERSION)
     p.add_argument("--provider", choices=("auto", "crossref", "openalex", "both"), default="auto")
-    p.add_argument("--primary", help="Parquet table of works (column work) of the primary catalogue")
-    p.add_argument("--secondary", help="the same of the secondary catalogue")
+    p.add_argument("--primary", help="Parquet table of works (column work) of the primary catalogue, or the address of its service")
+    p.add_argument("--secondary", help="the same of the secondary catalogue; a service needs the key in BIBSPARK_SECONDARY_KEY")
+    p.add_argument("--email", default=os.environ.get("BIBSPARK_EMAIL"), help="sent to the primary service")
+    p.add_argument("--cache-dir", default=os.environ.get("BIBSPARK_CACHE_DIR"), help="table of stored responses of services")
+    p.add_argument("--cache-ttl-days", type=float, default=30.0, help="age from which a stored response is asked for again")
+    p.add_argument("--no-cache", action="store_true", help="store no responses and use none")
+    p.add_argument("--offline", action="store_true", help="use stored responses only")
     p.add_argument("--format", choices=("table", "json", "csv", "markdown"), default="table")
     p.add_argument("--output", type=Path)
     p.add_argument("--audit", type=Path)
@@ -39,6 +49,18 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def source(args: argparse.Namespace, spark: SparkSession, kind: str, label: str, place: str, interval: float) -> CandidateSource:
+    """A stored catalogue, or a service with the options of the cache."""
+    if not re.match("https?://", place):
+        return Catalogue(label, spark.read.parquet(place))
+    contact = f"; mailto:{args.email}" if args.email and kind == "primary" else ""
+    client = Client(interval, headers={"Accept": "application/json", "User-Agent": f"bibspark/{VERSION}{contact}"})
+    stored = None if args.no_cache else args.cache_dir or f"{shared_dir(spark)}/bibspark/responses"
+    key = os.environ.get("BIBSPARK_SECONDARY_KEY", "").strip()
+    secret = ("api_key", key) if kind == "secondary" and key else None
+    return ServiceCatalogue(label, place.rstrip("/"), kind, client, time.time(), stored, args.cache_ttl_days * 86400, args.offline, secret)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin: TextIO = sys.stdin, stdout: TextIO = sys.stdout, stderr: TextIO = sys.stderr) -> int:
     """0 if all went well, 1 for unusable input or catalogues, 2 for strict callers if
     references stay unsettled."""
@@ -46,6 +68,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin
     args = p.parse_args(argv)
     if args.output and args.audit and args.output.resolve() == args.audit.resolve():
         p.error("--output and --audit must differ")
+    if args.cache_ttl_days <= 0:
+        p.error("--cache-ttl-days must be positive")
+    if args.offline and args.no_cache:
+        p.error("--offline needs the cache")
     try:
         config = MatchConfig(args.min_confidence, args.min_margin, args.candidate_limit, deduplicate_works=not args.keep_duplicates, include_collective_authors=args.include_collective_authors, ranking=args.ranking, top=args.top)
     except ValueError as wrong:
@@ -63,8 +89,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, stdin
     if references.isEmpty():
         print("error: no references were found in the input", file=stderr)
         return 1
-    table = lambda label, path: Catalogue(label, spark.read.parquet(path))
-    result = Analysis.from_references(references, table("Crossref", args.primary) if use_primary else None, table("OpenAlex", args.secondary) if use_secondary else None, config)
+    report = None if args.quiet else lambda n, total: print(f"{n} of {total} references settled", file=stderr)
+    primary = source(args, spark, "primary", "Crossref", args.primary, PRIMARY_INTERVAL) if use_primary else None
+    secondary = source(args, spark, "secondary", "OpenAlex", args.secondary, SECONDARY_INTERVAL) if use_secondary else None
+    result = Analysis.from_references(references, primary, secondary, config, report)
     try:
         if args.output:
             args.output.parent.mkdir(parents=True, exist_ok=True)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bibspark.functions.text import normalize_name, normalize_orcid, short_openalex_id, stripped
 from bibspark.operators.components import connected_components
 from bibspark.operators.keys import spread
+from bibspark.staging import staged
 
 AUTHORSHIP = ["bib_id", "index", "pos"]
 
@@ -31,7 +32,8 @@ def person_keys(authorships: DataFrame) -> DataFrame:
     records of two or more identifiers are edges, so the graph stays small; nodes carry their
     bibliography, whose identities are its own.
     """
-    rows = authorships.withColumns({"ids": strong_keys(), "name": normalize_name(F.col("author.display_name"))})
+    # read three times below: for edges, for names' owners, and for the result
+    rows = staged(authorships.withColumns({"ids": strong_keys(), "name": normalize_name(F.col("author.display_name"))}), "identity-rows")
     node = lambda k: F.concat(F.coalesce(F.col("bib_id").cast("string"), F.lit("")), F.lit("\x01"), k)
     rows = rows.withColumn("node", node(F.get("ids", F.lit(0))))
     pairs = rows.where(F.size("ids") > 1).select("node", F.explode(F.slice("ids", 2, 2)).alias("other"), "bib_id")

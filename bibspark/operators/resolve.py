@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,22 @@ from bibspark.staging import staged
 REFERENCE = [*KEY, "raw", "doi", "years", "visible_surnames", "has_et_al"]
 
 
+class CandidateSource(Protocol):
+    """What resolution needs of a catalogue: a stored table, a service, or another's own class."""
+
+    label: str
+
+    def look_up(self, rows: DataFrame, doi: str, out: str, label: str) -> DataFrame:
+        """Rows with the work of the DOI in column ``doi`` as ``out``, and ``_error``."""
+
+    def find(self, rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+        """Rows with ``_error``, and bib_id, index, pos (from 1) and work of candidates."""
+
+
+#: Called with the references that are settled so far and with all.
+Progress = Callable[[int, int], None]
+
+
 @dataclass(frozen=True)
 class Catalogue:
     """A table of works (column ``work``) with what failed to be read from its service.
@@ -60,7 +78,7 @@ def _no_work() -> Column:
     return F.lit(None).cast(WORK)
 
 
-def exact(references: DataFrame, primary: Catalogue | None, secondary: Catalogue | None) -> DataFrame:
+def exact(references: DataFrame, primary: CandidateSource | None, secondary: CandidateSource | None) -> DataFrame:
     """References with ``work`` and ``method`` of their own DOI, from both catalogues at once."""
     rows = references.withColumn("provider_errors", F.array().cast("array<string>"))
     rows = _note(primary.look_up(rows, "doi", "_p", primary.label)) if primary else rows.withColumn("_p", _no_work())
@@ -69,12 +87,13 @@ def exact(references: DataFrame, primary: Catalogue | None, secondary: Catalogue
     return rows.withColumns({"work": merge_works(F.col("_p"), F.col("_s")), "method": method}).drop("_p", "_s")
 
 
-def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalogue | None = None, config: MatchConfig | None = None) -> DataFrame:
+def resolve(references: DataFrame, primary: CandidateSource | None, secondary: CandidateSource | None = None, config: MatchConfig | None = None, progress: Progress | None = None) -> DataFrame:
     """A resolution for each reference.
 
     Order of attempts: DOI in both catalogues; search of the primary one; for what that doesn't
     settle, search of the secondary one and a decision over both; then the secondary record of
-    an accepted primary work. Each later step only gets the rows that still need it.
+    an accepted primary work. Each later step only gets the rows that still need it, and
+    ``progress`` is called after each.
     """
     if primary is None and secondary is None:
         raise ValueError("at least one catalogue is needed")
@@ -83,6 +102,16 @@ def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalog
     none = F.array().cast(f"array<{CANDIDATE}>")
     done = looked.where("work is not null").withColumns({"status": F.lit("matched"), "confidence": F.lit(1.0), "reason": F.lit("Exact DOI lookup"), "alternatives": none})
     todo = looked.where("work is null").drop("work", "method")
+    total, settled_rows = 0, 0
+
+    def tell(rows: DataFrame | None) -> None:
+        nonlocal total, settled_rows
+        if progress:
+            total = total or looked.count()
+            settled_rows += 0 if rows is None else rows.count()
+            progress(settled_rows if rows is not None else total, total)
+
+    tell(done)
 
     first = None
     if primary:
@@ -97,6 +126,7 @@ def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalog
     rows = rows.withColumn("method", F.when(F.col("_searched"), "crossref_search"))
     if secondary:
         rows = staged(rows, "resolve-decided")
+        tell(rows.where("accepted"))
         settled, open_ = rows.where("accepted"), rows.where("not accepted").select(*REFERENCE, "provider_errors", "_searched")
         open_, more = secondary.find(open_, config.candidate_limit)
         open_ = open_.withColumn("_also", F.col("_error").isNull())
@@ -111,6 +141,7 @@ def resolve(references: DataFrame, primary: Catalogue | None, secondary: Catalog
         again = again.withColumn("method", method).drop("_also")
         rows = again if decided is None else settled.unionByName(again)
     rows = rows.drop("_searched")
+    tell(None)
 
     accepted = rows.where("accepted").withColumn("work", F.col("best.work"))
     if secondary:

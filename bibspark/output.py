@@ -15,6 +15,7 @@ from typing import TextIO
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bibspark.operators.keys import join_same
 from bibspark.operators.people import hidden_authors
 from bibspark.plans.analysis import Analysis
 
@@ -36,7 +37,7 @@ def identifier(orcid: Column, openalex_id: Column) -> Column:
 
 def person_records(analysis: Analysis, ranking: str | None = None, top: int | None = 0) -> DataFrame:
     """Ranked people as records: aliases without the displayed name, numbers rounded to six."""
-    rows = analysis.ranking(ranking, top).join(analysis.summary.select("bib_id", "distinct_matched_works"), "bib_id")
+    rows = join_same(analysis.ranking(ranking, top), analysis.summary.select("bib_id", "distinct_matched_works"), ["bib_id"])
     works = F.col("distinct_matched_works")
     share = F.when(works > 0, F.col("full_count") / works).otherwise(0.0)
     return rows.select(
@@ -93,8 +94,13 @@ def write_audit(analysis: Analysis, path: str) -> None:
 
 
 def write_csv(analysis: Analysis, path: str, ranking: str | None = None, top: int = 0) -> None:
-    """The ranking as CSV files, by Spark."""
-    csv_rows(analysis, ranking, top).drop("bib_id").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """The rankings as CSV files, by Spark: a folder for each bibliography, rows by rank.
+
+    A bibliography's rows are in one file, since its ranking is ordered in one task anyway;
+    bibliographies are spread over tasks.
+    """
+    rows = csv_rows(analysis, ranking, top).repartition("bib_id").sortWithinPartitions("bib_id", "rank")
+    rows.write.mode("overwrite").partitionBy("bib_id").option("header", True).option("escape", '"').csv(path)
 
 
 def csv_rows(analysis: Analysis, ranking: str | None = None, top: int | None = 0) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bibspark.operators import people as P
-from bibspark.operators.resolve import Catalogue, resolve
+from bibspark.operators.resolve import CandidateSource, Progress, resolve
 from bibspark.schemas import MatchConfig
+from bibspark.sources.files import from_text
 from bibspark.sources.split import parse_references
 from bibspark.staging import staged
 
@@ -31,13 +32,13 @@ class Analysis:
         return cls(marked, persons, summary, warnings, config)
 
     @classmethod
-    def from_references(cls, references: DataFrame, primary: Catalogue | None, secondary: Catalogue | None = None, config: MatchConfig | None = None) -> Analysis:
-        return cls.from_resolutions(staged(resolve(references, primary, secondary, config), "resolutions"), config)
+    def from_references(cls, references: DataFrame, primary: CandidateSource | None, secondary: CandidateSource | None = None, config: MatchConfig | None = None, progress: Progress | None = None) -> Analysis:
+        return cls.from_resolutions(staged(resolve(references, primary, secondary, config, progress), "resolutions"), config)
 
     @classmethod
-    def from_text(cls, bibliographies: DataFrame, primary: Catalogue | None, secondary: Catalogue | None = None, config: MatchConfig | None = None) -> Analysis:
+    def from_text(cls, bibliographies: DataFrame, primary: CandidateSource | None, secondary: CandidateSource | None = None, config: MatchConfig | None = None, progress: Progress | None = None) -> Analysis:
         """bibliographies: bib_id and text."""
-        return cls.from_references(parse_references(bibliographies), primary, secondary, config)
+        return cls.from_references(parse_references(bibliographies), primary, secondary, config, progress)
 
     def again(self, **options) -> Analysis:
         """Counts with other options over the same resolutions; duplicates are told anew."""
@@ -51,6 +52,11 @@ class Analysis:
         return self.summary.where("ambiguous_references + unmatched_references + errored_references > 0").select("bib_id")
 
 
+def analyze_text(spark: SparkSession, text: str, primary: CandidateSource | None, secondary: CandidateSource | None = None, config: MatchConfig | None = None, progress: Progress | None = None) -> Analysis:
+    """The analysis of one bibliography that is at hand as a string (bib_id 1)."""
+    return Analysis.from_text(from_text(spark, text), primary, secondary, config, progress)
+
+
 def cancel(spark: SparkSession, group: str) -> None:
     """Stops the jobs of a group, set by ``spark.sparkContext.setJobGroup``."""
     spark.sparkContext.cancelJobGroup(group)

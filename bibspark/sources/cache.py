@@ -37,6 +37,11 @@ def entries(requests: DataFrame, now: float) -> DataFrame:
     return requests.select(digest(F.col("key")).alias("key_digest"), "key", F.lit(now).alias("created_at"), "value")
 
 
+def store(rows: DataFrame, path: str) -> None:
+    """Appends cache rows; Spark commits all files or none, so readers see no half-written row."""
+    rows.select("key_digest", "key", "created_at", "value").write.mode("append").parquet(path)
+
+
 def fresh(cache: DataFrame, now: float | Column, ttl: float | None = None) -> DataFrame:
     """The latest entry of each key whose age is at most ``ttl``; entries that are no JSON
     object are misses, and no ``ttl`` means never too old."""
