@@ -2,8 +2,8 @@
 
 A text's histograms of character classes and of common words are compared by Jensen-Shannon
 distance to references of each language, which are means over the whole corpus. Short texts
-have noisy histograms, so the limits widen with 1 / sqrt(length) and below a least length only
-the base rules hold.
+have noisy histograms, so the limits widen with 1 / sqrt(length), and a histogram of less than a
+least length isn't compared at all.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ COMMON = {
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
 #: Classes of characters by what is removed in turn; the rest is the last class.
 CLASSES = (("lower", "[a-z]+"), ("blank", r"[\x20\x09-\x0D]+"), ("letter", r"[^\P{L}A-Z]+"), ("upper", "[A-Z]+"), ("stop", r"[.,;:!?'\"()\-]+"), ("digit", "[0-9]+"))
-#: Least words for the base rules, and for the method; the largest distances of long texts and
-#: what short ones may have more, over the square root of the number of words.
-BASE_WORDS, LEAST_WORDS = 50, 50
+#: Least words for the base rules; least code points and words for histograms to be compared; the
+#: largest distances of long texts and what short ones may have more, over the square root of
+#: the number of words.
+BASE_WORDS = 50
+LEAST_CHARS, LEAST_WORDS = 300, 80
 MOST_CHARS, MOST_WORDS, SLACK_CHARS, SLACK_WORDS = 0.12, 0.06, 1.3, 2.6
 
 
@@ -148,7 +150,8 @@ def judge(documents: DataFrame) -> DataFrame:
     """Base numbers, distances to the nearest reference and the verdict of each document.
 
     A document is kept if it passes the base rules and, for some language, both distances are
-    within their limits. Null and empty texts have no words and fail the base rules; a null or
+    within their limits. Character classes of texts of under LEAST_CHARS code points and common
+    words of texts of under LEAST_WORDS words are too few to tell and exceed nothing. Null and empty texts have no words and fail the base rules; a null or
     unknown lang only means that the row adds to no reference. Repeated rows are judged alike,
     other columns are ignored, and an empty table gives no rows. Without any reference the base
     rules decide. Texts are read once, nothing but counts leaves their row.
@@ -157,10 +160,12 @@ def judge(documents: DataFrame) -> DataFrame:
     known = references(counted)
     chars = char_shares()
     slack = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
+    long_chars = F.aggregate("chars", F.lit(0), lambda a, x: a + x) >= LEAST_CHARS
+    long_words = F.col("n_words") >= LEAST_WORDS
     near = F.array(
         *(
             F.struct(
-                F.greatest(dc / (MOST_CHARS + SLACK_CHARS / slack), dw / (MOST_WORDS + SLACK_WORDS / slack)).alias("excess"),
+                F.greatest(F.lit(0.0), F.when(long_chars, dc / (MOST_CHARS + SLACK_CHARS / slack)), F.when(long_words, dw / (MOST_WORDS + SLACK_WORDS / slack))).alias("excess"),
                 F.lit(k).alias("language"),
                 dc.alias("js_chars"),
                 dw.alias("js_words"),
@@ -173,5 +178,5 @@ def judge(documents: DataFrame) -> DataFrame:
     if not known:
         near = F.array(F.struct(F.lit(0.0).alias("excess"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("js_chars"), F.lit(None).cast("double").alias("js_words")))
     rows = rows.withColumn("near", F.array_min(near))
-    kept = ~F.col("base_failed") & ((F.col("n_words") < LEAST_WORDS) | (F.col("near.excess") <= 1))
+    kept = ~F.col("base_failed") & (F.col("near.excess") <= 1)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "near.language", "near.js_chars", "near.js_words")

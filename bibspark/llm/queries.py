@@ -105,4 +105,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_flow": op10_mix_flow,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_url_filter": """WITH u AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT n, page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(own, start, told) AS (VALUES """
+    + ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+    + """),
+f AS (SELECT p.*, own || start AS rule, told, row_number() OVER (PARTITION BY n ORDER BY length(own) + length(start) DESC) AS best
+  FROM p LEFT JOIN r ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start))
+SELECT page_id, host, path, rule, coalesce(told, 'allow') AS verdict FROM f WHERE best = 1""",
+}

@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from bibspark.llm.common import schema_with, slices
 
 #: Bounds of the sample of labelled rows: texts, and code points of each.
-MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 3000, 100_000
+MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 2400, 100_000
 BEGINNINGS = (3, 5, 7)
-NEAREST, BLOCK, EVIDENCE = 31, 64, 3
+NEAREST, BLOCK, EVIDENCE = 15, 64, 3
 #: A term in more than this share of the examples has a row of weights instead of a list.
 DENSE = 1 / 25
 #: Texts that are cut into words at once (bytes, rows), and rows that are searched at once.
-SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 2 << 20, 2048, 128
+SLICE_BYTES, SLICE_ROWS, BATCH_ROWS = 1 << 20, 1024, 64
 UNIT = float(1 << 24)
 NOT_WORD = r"[^\pL\pN]+"
 
@@ -290,6 +290,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             scores, evidence = shared.value.score(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
+            pa.default_memory_pool().release_unused()
 
     schema = schema_with(documents.select("doc_id"), f"score double, evidence {EVIDENCE_SCHEMA}")
     return documents.select("doc_id", "text").mapInArrow(run, schema)
@@ -308,6 +309,7 @@ def accepted(documents: DataFrame, model: Model, threshold: float = 0.7) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([x < threshold for x in shared.value.score(batch.column(at))[0]], pa.bool_()))
+            pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(run, documents.schema)
 

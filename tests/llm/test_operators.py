@@ -325,7 +325,7 @@ def test_quality_classifier(spark, odd_documents, no_documents):
     documents = docs_of(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(900)], "doc_id long, quality int")
     model = pu_quality.fit(documents, labels)
-    assert model.prior == pytest.approx(0.75, abs=0.03)
+    assert model.prior == pytest.approx(0.75, abs=0.05)
     got = {x.doc_id: x.score for x in pu_quality.scored(documents, model).collect()}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum((got[i] >= 0.5) == (i % 4 > 0) for i in held) > 0.97 * len(held)

@@ -26,3 +26,14 @@ def test_stages(spark):
     assert seen[0] >= seen[1] >= seen[2] >= seen[3] and seen[5] == seen[4]
     rows = docs.orderBy("start").collect()
     assert rows[-1].start + rows[-1].n_tokens == sum(r.n_tokens for r in rows)
+
+
+def test_run_and_odd_rows(spark, odd_documents, no_documents, monkeypatch):
+    real = corpus_pipeline.table
+    for docs, least in ((odd_documents, 1), (no_documents, 0)):
+        monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, name, docs=docs: docs if name == "documents" else real(s, d, name))
+        got = corpus_pipeline.run(spark, SF)
+        assert got.columns == ["doc_id", "start", "n_tokens", "tokens"]
+        rows = sorted(got.collect(), key=lambda r: r.start)
+        assert (len(rows) > 0) == bool(least)
+        assert sum(r.n_tokens for r in rows) == sum(len(r.tokens) for r in rows)
