@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bibspark import output
@@ -269,10 +269,29 @@ def extract_years(spark, sf_dir):
     return _refs(spark, sf_dir).select("o_orderkey", F.array_join(features.extract_years(F.col("raw")).cast("array<string>"), ",").alias("years"))
 
 
-@register(REFS + "SELECT o_orderkey, regexp_matches(raw, '\\bet\\s+al\\b') AS has_et_al, 'supplier' AS surnames FROM refs")
+_NAMES = ("Abel", "Bruno", "Çelik", "Dumas", "Éloi", "O'Hara", "Ng")
+_OTHERS = ("Ito", "Løv", "Paz-Ruiz", "Quist", "Rao")
+
+
+@register(
+    f"""WITH n AS (SELECT o_orderkey, ['abel', 'bruno', 'celik', 'dumas', 'eloi', 'ohara', 'ng'][o_orderkey % {len(_NAMES)} + 1] AS a,
+  ['ito', 'løv', 'pazruiz', 'quist', 'rao'][o_orderkey % {len(_OTHERS)} + 1] AS b FROM orders)
+SELECT o_orderkey, o_orderkey % 5 IN (0, 3) AS has_et_al, CASE o_orderkey % 5 WHEN 2 THEN 'ab,' || a || ',' || b WHEN 3 THEN a WHEN 4 THEN '' ELSE a || ',' || b END AS surnames FROM n"""
+)
 def et_al_and_surnames(spark, sf_dir):
-    raw = F.col("raw")
-    return _refs(spark, sf_dir).select("o_orderkey", features.has_et_al(raw).alias("has_et_al"), F.array_join(features.visible_surnames(raw), ",").alias("surnames"))
+    """Each way in which names stand, alone and with et al."""
+    key = F.col("o_orderkey")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    a, b, year = pick(_NAMES), pick(_OTHERS), F.year("o_orderdate").cast("string")
+    raw = (
+        F.when(key % 5 == 0, F.concat(a, F.lit(", A., "), b, F.lit(", Bo, et al. ("), year, F.lit("). Title.")))
+        .when(key % 5 == 1, F.concat(F.lit("B. "), a, F.lit(" and C. D. "), b, F.lit(". "), year, F.lit(". Title, E.")))
+        .when(key % 5 == 2, F.concat(a, F.lit(" AB, "), b, F.lit(" C; "), year))
+        .when(key % 5 == 3, F.concat(F.lit("as "), a, F.lit(" ET  al told in "), year))
+        .otherwise(F.concat(F.lit("no names "), year, F.lit(" Smith, J.")))
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"))
+    return rows.select("o_orderkey", features.has_et_al(F.col("raw")).alias("has_et_al"), F.array_join(features.visible_surnames(F.col("raw")), ",").alias("surnames"))
 
 
 DOIS = """WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' https://dx.doi.org/10.1000/AbC' || o_orderkey || '.' WHEN 1 THEN 'DOI: (10.1000/x' || o_orderkey || ')'
@@ -338,6 +357,26 @@ def split_numbered(spark, sf_dir):
     return _parsed(_lists(spark, sf_dir, lambda n, raw: F.concat(F.lit("["), n, F.lit("] "), raw), "\n", "References\n"))
 
 
+@register(_PARSED.format("raw"))
+def split_numbered_lines(spark, sf_dir):
+    """Numbers that don't count upwards, so only the lines tell."""
+    return _parsed(_lists(spark, sf_dir, lambda n, raw: F.concat(F.lit("7."), F.replace(raw, F.lit(" Journal"), F.lit("\n Journal"))), "\n"))
+
+
+@register(_PARSED.format("regexp_replace(raw, ' https.*', '')") + " QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def split_starts(spark, sf_dir):
+    """Wrapped lines without marks: a start behind a whole reference opens the next one."""
+
+    def wrapped(n: Column, raw: Column) -> Column:
+        raw = F.regexp_replace(raw, " https.*", "")  # a number of a DOI may look like a year
+        for before in (" Order", " on ", " Journal"):
+            raw = F.replace(raw, F.lit(before), F.lit("\n" + before[1:]))
+        return raw
+
+    lists = _lists(spark, sf_dir, wrapped, "\n")
+    return _parsed(lists.where(F.col("text").contains("\nSupplier")))
+
+
 @register(_PARSED.format("raw"))
 def split_blank_blocks(spark, sf_dir):
     return _parsed(_lists(spark, sf_dir, lambda n, raw: F.when(n == "1", raw).otherwise(F.replace(raw, F.lit(" Journal"), F.lit("\n  Journal"))), "\n\n"))
@@ -404,18 +443,51 @@ def resolve_by_search(spark, sf_dir):
     return rows.select("index", "status", F.round("confidence", 6).alias("confidence"), "method", "reason", F.col("work.id").alias("work_id"))
 
 
-@register()
+_PLAIN = "trim(regexp_replace(lower({}), '[^a-z0-9_]+', ' ', 'g'))"
+
+
+@register(
+    f"""WITH works AS (SELECT 'crossref:' || p_partkey AS id, {_PLAIN.format("p_name || ' ' || p_type || ' ' || p_partkey")} AS title FROM part WHERE p_partkey % 3 <> 0),
+w AS (SELECT id, unnest(list_distinct(string_split(title, ' '))) AS word FROM works),
+n AS (SELECT word, 1 / ln(count(*) + 1.5) AS weight FROM w GROUP BY word),
+asked AS (SELECT p_partkey AS idx, unnest(list_distinct(string_split({_PLAIN.format("p_brand || ', A. (' || (1990 + p_size) || '). ' || p_name || ' ' || p_type || ' ' || p_partkey || ' .'")}, ' '))) AS word FROM part),
+hits AS (SELECT idx, id, round(sum(weight ORDER BY word), 9) AS weight FROM asked JOIN w USING (word) JOIN n USING (word) GROUP BY idx, id)
+SELECT * FROM (SELECT CAST(idx AS INTEGER) AS "index", CAST(row_number() OVER (PARTITION BY idx ORDER BY weight DESC, id) AS INTEGER) AS pos, id AS work_id FROM hits) WHERE pos <= 3"""
+)
 def candidate_topk(spark, sf_dir):
-    """Rarest shared words; an own algorithm, held against a model in tests."""
+    """The works that share the rarest title words."""
     rows = candidates.search(_part_refs(spark, sf_dir), _catalogues(spark, sf_dir)[0].works, 3)
     return rows.select("index", "pos", F.col("work.id").alias("work_id"))
 
 
-@register()
+#: Longest common subsequences by dynamic programming: a row for each character of ``a``.
+_RATIOS = """WITH RECURSIVE p AS (
+  SELECT p_partkey, lower(p_name) AS a, lower(p_type) AS b, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS ta, list_sort(list_distinct(string_split(lower(p_type), ' '))) AS tb FROM part),
+s AS (SELECT *, list_filter(ta, lambda x: list_contains(tb, x)) AS common, list_filter(ta, lambda x: NOT list_contains(tb, x)) AS oa, list_filter(tb, lambda x: NOT list_contains(ta, x)) AS ob FROM p),
+k AS (SELECT p_partkey, a, b, len(common) AS n, len(oa) AS na, len(ob) AS nb, array_to_string(common, ' ') AS shared, array_to_string(list_concat(common, oa), ' ') AS one, array_to_string(list_concat(common, ob), ' ') AS two FROM s),
+pairs AS (SELECT a AS x, b AS y FROM k UNION SELECT one, two FROM k UNION SELECT shared, one FROM k UNION SELECT shared, two FROM k),
+dp AS (
+  SELECT x, y, 0 AS i, list_transform(range(len(y)), lambda j: 0) AS r FROM pairs
+  UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, len(y) + 1), lambda j: list_max(t[1:j])) FROM (
+    SELECT x, y, i, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN y[j] = x[i + 1] THEN 1 + CASE WHEN j > 1 THEN r[j - 1] ELSE 0 END ELSE r[j] END) AS t FROM dp WHERE i < len(x))),
+lcs AS (SELECT x, y, CASE WHEN x = y THEN 1.0 WHEN x = '' OR y = '' THEN 0.0 ELSE 2.0 * list_max(r) / (len(x) + len(y)) END::DOUBLE AS ratio FROM dp WHERE i = len(x))
+SELECT p_partkey, round(l0.ratio, 6) AS indel, round(CASE WHEN n > 0 AND (na = 0 OR nb = 0) THEN 1.0 WHEN n = 0 THEN l1.ratio ELSE greatest(l1.ratio, l2.ratio, l3.ratio) END::DOUBLE, 6) AS token_set
+FROM k JOIN lcs l0 ON l0.x = a AND l0.y = b JOIN lcs l1 ON l1.x = one AND l1.y = two JOIN lcs l2 ON l2.x = shared AND l2.y = one JOIN lcs l3 ON l3.x = shared AND l3.y = two"""
+
+
+@register(_RATIOS)
 def fuzzy_ratios(spark, sf_dir):
-    """Ratios of part names to types; held against dynamic programming in tests."""
+    """Ratios of part names to types."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
+    return rows.select("p_partkey", *(F.round(f(F.col("a"), F.col("b")), 6).alias(n) for n, f in (("indel", similarity.indel_ratio), ("token_set", similarity.token_set_ratio))))
+
+
+@register()
+def partial_ratios(spark, sf_dir):
+    """Best windows of part names to types; held against dynamic programming in tests."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
-    return rows.select("p_partkey", *(F.round(f(F.col("a"), F.col("b")), 6).alias(n) for n, f in (("indel", similarity.indel_ratio), ("token_set", similarity.token_set_ratio), ("partial", similarity.partial_ratio))))
+    return rows.select("p_partkey", F.round(similarity.partial_ratio(F.col("a"), F.col("b")), 6).alias("partial"))
 
 
 YEARS = """SELECT p_partkey, CASE abs(p_size - (p_partkey % 50)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.3 ELSE 0.0 END AS year_score"""
