@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import schema_with, shared_dir, slices
+from bibspark.llm.common import schema_with, shared_dir, slices, small_batches
 
 END_ID = 1
 #: Text that is encoded at once, in bytes; pieces that an encoder remembers; the least length of
@@ -164,6 +164,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, path: str, partitions: in
     ignored, and an empty table gives an empty output. ``tokenizer`` must be at the same path
     on every executor.
     """
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bibspark.llm.common import schema_with, slices
+from bibspark.llm.common import schema_with, slices, small_batches
 
 #: Bounds of the sample of labelled rows: texts, and code points of each.
 MAX_EXAMPLES, MAX_EXAMPLE_CHARS = 2400, 100_000
@@ -283,6 +283,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
     share of toxic examples. Repeated rows are scored alike, other columns are ignored, and an
     empty table gives no rows.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
@@ -303,6 +304,7 @@ def accepted(documents: DataFrame, model: Model, threshold: float = 0.7) -> Data
     unless most examples are toxic, stay; repeated rows are judged alike; an empty table gives
     no rows.
     """
+    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at = documents.columns.index("text")
 
