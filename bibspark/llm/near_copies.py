@@ -1,8 +1,10 @@
 """Near copies by exact Jaccard similarity of five-word shingles.
 
-Candidates share a band of MinHash values; a pair at Jaccard 0.8 shares none of the 30 bands of
-5 values with probability 7e-6. Every candidate pair whose texts aren't connected already is
-measured on the whole shingle sets, so bands only decide what is compared, never what is a copy.
+Candidates are SimHash fingerprints of the texts' word sets within RADIUS bits, found by op4's
+generalised pigeonhole. At Jaccard 0.8 fingerprints may differ by more bits than any radius that
+prunes, so texts that share a band of MinHash values are candidates too; a pair at Jaccard 0.8
+shares none of the 30 bands of 5 values with probability 7e-6. Candidates are measured on the whole
+shingle sets, so fingerprints and bands only decide what is compared, never what is a copy.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bibspark.llm.common import rows_of, schema_with, small_batches, staged, text_key
-from bibspark.llm.simhash import LOWER
+from bibspark.llm.simhash import BITS, LOWER, bit_counts, links, plan
 from bibspark.operators.components import connected_components
 
 SHINGLE = 5
 #: Least Jaccard similarity of copies, as a fraction of whole numbers.
 ALIKE = (4, 5)
+#: Fingerprints within so many bits are candidates.
+RADIUS = 6
 BANDS, ROWS = 30, 5
 CHUNK = 1 << 12
 #: A bucket of more members is compared in pairs of blocks of so many.
@@ -38,20 +42,38 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words(text: str | None) -> np.ndarray:
+    """The hash of every word, in order."""
+    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The distinct shingles' hashes, sorted; a shorter text is one shingle, none without words."""
-    found = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return cut(words(text))
+
+
+def cut(found: np.ndarray) -> np.ndarray:
+    """The shingles of a text's words."""
     n = len(found)
     if not n:
-        return np.zeros(0, np.uint64)
-    words = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, n)
+        return found
     size = min(n, SHINGLE)
     out = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
-        out = _mixed(out * FACTOR + words[k : n - size + 1 + k])
+        out = _mixed(out * FACTOR + found[k : n - size + 1 + k])
     return np.unique(out)
 
 
+def fingerprint(found: np.ndarray) -> np.uint64:
+    """64 bits, each set if it is set in over half the different words' hashes; 0 without words."""
+    found = np.unique(found)
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(found), CHUNK):
+        counts += np.unpackbits(found[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found), bitorder="little").view(np.uint64)[0]
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """A key for each band of least values; texts without words have none."""
     if not len(found):
@@ -72,23 +94,43 @@ def alike(both: int | np.ndarray, a: int, b: int | np.ndarray) -> bool | np.ndar
 
 
 def marks(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (hash of the shingle set) and band keys of each whole text."""
+    """doc_id, text_key, node (hash of the shingle set), fingerprint and band keys of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, keys = [], []
+            nodes, fps, keys = [], [], []
             for text in batch.column(2):
-                found = shingles(text.as_py())
+                own = words(text.as_py())
+                found = cut(own)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                fps.append(fingerprint(own))
                 keys.append(bands(found))
             at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            cols = [batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
-            yield pa.record_batch(cols, names=["doc_id", "text_key", "node", "keys"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)]
+            cols = [batch.column(0), batch.column(1), *longs, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))]
+            yield pa.record_batch(cols, names=["doc_id", "text_key", "node", "fp", "keys"])
 
     small_batches(documents.sparkSession)
     rows = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    return rows.mapInArrow(run, schema_with(rows.select("doc_id", "text_key"), "node long, keys array<long>"))
+    return rows.mapInArrow(run, schema_with(rows.select("doc_id", "text_key"), "node long, fp long, keys array<long>"))
+
+
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are within RADIUS bits.
+
+    Nodes of one fingerprint are paired with the least of them, which stands for it. The pairs are
+    a forest, so a copy that is joined by a text that is none is left to the bands.
+    """
+    fps = staged(nodes.groupBy("fp").agg(F.min("node").alias("own"), F.count(F.lit(1)).alias("n")), "near-fingerprints")
+    n = fps.count()
+    same = nodes.join(fps.where("n > 1"), "fp").where("node <> own").select(F.col("own").alias("a"), F.col("node").alias("b"))
+    if n < 2:
+        return same
+    near = links(fps, plan(bit_counts(fps), n, RADIUS), RADIUS)
+    for end in ("a", "b"):
+        near = near.join(fps.select(F.col("fp").alias(end), F.col("own").alias(f"own_{end}")), end)
+    return same.unionByName(near.select(F.col("own_a").alias("a"), F.col("own_b").alias("b")))
 
 
 def _sets(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -165,19 +207,23 @@ def _blocked(buckets: DataFrame) -> DataFrame:
 def components(documents: DataFrame, found: DataFrame) -> DataFrame:
     """node and root of the nodes that have copies, from ``found``, the documents' marks.
 
-    First every member of a bucket is compared with its least one. Buckets whose members are not
-    all connected by then are compared pair by pair, large ones in blocks, so a large group of
-    copies costs a comparison a member and a bucket, and nothing is left out.
+    First the pairs that the fingerprints give are compared, and every member of a bucket with its
+    least one. Buckets whose members are not all connected by then are compared pair by pair, large
+    ones in blocks, so a large group of copies costs a comparison a member and a bucket, and
+    nothing is left out.
     """
-    nodes = staged(found.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("keys").alias("keys")), "near-nodes")
+    nodes = staged(found.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "near-nodes")
     rows = nodes.select("node", F.explode("keys").alias("key"))
     groups = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
     # buckets of the same members are one
     groups = groups.groupBy("hub", "n", "who").agg(F.min("key").alias("key")).select("key", "hub", "n")
     members = staged(rows.join(groups, "key"), "near-members")
-    sets = staged(_sets(documents, nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key")), "near-sets")
-    star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = star.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    star = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_pairs(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = staged(star.unionByName(near).distinct(), "near-pairs")
+    ends = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    sets = staged(_sets(documents, nodes.join(ends, "node", "left_semi").select("node", "text_key")), "near-sets")
+    pairs = first.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     pairs = pairs.withColumn("both", F.size(F.array_intersect("x", "y")))
     edges = staged(pairs.where(alike(F.col("both"), F.size("x"), F.size("y"))).select("a", "b"), "near-links")
     roots = staged(connected_components(edges, name="near-components"), "near-roots")

@@ -146,6 +146,8 @@ def plan(counts: np.ndarray, n: int, radius: int = 3, most: int = 2) -> list[int
     spins = 4 * both - 2 * ones[:, None] - 2 * ones[None, :] + 1
     best: tuple[float, list[int]] | None = None
     for m in range(2, radius + 3):
+        if radius - m + 1 > most * m:
+            continue
         groups = grouped_bits(spin, spins, m)
         costs = []
         for g in groups:
