@@ -5,7 +5,9 @@ from collections import Counter
 import pytest
 
 from bibspark.operators import candidates
+from bibspark.operators.resolve import Catalogue, resolve
 from bibspark.schemas import WORK
+from bibspark.sources.split import parse_references
 
 
 def catalogue(spark, titles):
@@ -57,3 +59,15 @@ def test_search_compares_equal_sets_once(spark, monkeypatch):
     rows = [(1, i, f"on the blue ring {i}") for i in range(200)]
     assert found(candidates.search(asked(spark, rows), catalogue(spark, titles), 3)) == brute(titles, rows, 3)
     assert kept["search-sets"].count() == 1 and kept["search-index"].count() == 3
+
+
+def test_resolution_compares_equal_sets_once(spark, monkeypatch):
+    """Both catalogues are searched by different sets of words, and a reference keeps its own number's work."""
+    monkeypatch.setattr(candidates, "RARE", 2)
+    kept = []
+    monkeypatch.setattr(candidates, "staged", lambda df, name, stage=candidates.staged: kept.append((name, stage(df, name))) or kept[-1][1])
+    first, second = (catalogue(spark, {f"{c}{i:03}": f"blue ring number {i}" for i in range(400, 450) if i % 3 == k}) for k, c in enumerate("ab"))
+    rows = parse_references(spark.createDataFrame([(i, f"blue ring number {i}") for i in range(400, 450)], "bib_id long, text string"))
+    got = {r.bib_id: r.alternatives[0].work.id for r in resolve(rows, Catalogue("A", first), Catalogue("B", second)).collect()}
+    assert all(got[i] == f"a{i}" for i in range(400, 450) if i % 3 == 0)
+    assert [df.count() for name, df in kept if name == "search-sets"] == [1, 1]
