@@ -11,8 +11,11 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType
 
@@ -33,25 +36,55 @@ def normalized(value: str) -> str:
     return _NOT_WORD.sub(" ", folded).strip()
 
 
-def once_each(function: Callable[[str], object], values: pd.Series) -> pd.Series:
-    """``function`` over a batch, called once for each different string; null stays null."""
-    known = {v: function(v) for v in values.dropna().unique()}
-    return values.map(known, na_action="ignore").astype(object).where(values.notna(), None)
+#: Rows of an Arrow batch that holds texts.
+TEXT_ROWS = 2000
 
 
-@F.pandas_udf(StringType())
-def accents_stripped(values: pd.Series) -> pd.Series:
-    return once_each(strip_accents, values)
+def small_batches(spark: SparkSession) -> None:
+    """Lets no Arrow batch of this session have more than TEXT_ROWS rows.
+
+    Executors and their Python workers hold a batch several times over; rows with whole texts
+    are large, and smaller batches change no result.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)
+
+
+#: Bytes of texts that are Python strings at once; a longer text is alone. It changes no result.
+TEXT_BYTES = 1 << 20
+
+
+def once_each(function: Callable[[str], object], values: pa.Array, kind: pa.DataType) -> pa.Array:
+    """``function`` over a batch, called once for each different string of a slice; null stays null.
+
+    A batch of long texts is large, so only a slice of it is held as Python objects; the rest is
+    the batch itself and what has been made of it, both in Arrow's form.
+    """
+    size = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = [0, *(np.nonzero(np.diff(np.cumsum(size) // TEXT_BYTES))[0] + 1).tolist(), len(values)]
+
+    def told(part: pa.Array) -> pa.Array:
+        part = part.dictionary_encode()
+        return pa.array((function(v.as_py()) for v in part.dictionary), kind).take(part.indices)
+
+    parts = [told(values.slice(a, b - a)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(StringType())
+def accents_stripped(values: pa.Array) -> pa.Array:
+    return once_each(strip_accents, values, pa.string())
 
 
-@F.pandas_udf(StringType())
-def normalize_text(values: pd.Series) -> pd.Series:
-    return once_each(normalized, values)
+@F.arrow_udf(StringType())
+def normalize_text(values: pa.Array) -> pa.Array:
+    return once_each(normalized, values, pa.string())
 
 
-@F.pandas_udf(StringType())
-def casefolded(values: pd.Series) -> pd.Series:
-    return once_each(str.casefold, values)
+@F.arrow_udf(StringType())
+def casefolded(values: pa.Array) -> pa.Array:
+    return once_each(str.casefold, values, pa.string())
 
 
 normalize_name = normalize_text

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bibspark.functions.text import TEXT_ROWS, small_batches  # noqa: F401
 from bibspark.staging import shared_dir, staged  # noqa: F401
 
 #: The characters that separate words in every contract of this subpackage.
@@ -55,21 +56,6 @@ def slices(texts: pa.Array, most: int, rows: int = 1 << 31) -> Iterator[tuple[in
     return ((a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b)
 
 
-#: Rows of an Arrow batch that holds texts.
-TEXT_ROWS = 2000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Lets no Arrow batch of this session have more than TEXT_ROWS rows.
-
-    Executors and their Python workers hold a batch several times over; rows with whole texts
-    are large, and smaller batches change no result.
-    """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
-        spark.conf.set(name, TEXT_ROWS)
-
-
 def text_key(text: Column) -> Column:
     """A hash that stands for a text; null is like empty."""
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))

@@ -330,6 +330,7 @@ def identifier_normalize(spark, sf_dir):
 
 @register("SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}_]+', ' ', 'g')) AS normal FROM documents")
 def normalize_documents(spark, sf_dir):
+    text.small_batches(spark)
     return table(spark, sf_dir, "documents").select("doc_id", text.normalize_text("text").alias("normal"))
 
 
