@@ -30,3 +30,8 @@ def test_slices_of_texts(monkeypatch):
     assert len(called) < 7
     assert text.once_each(str.upper, pa.array([], pa.string()), pa.string()).to_pylist() == []
     assert text.once_each(str.split, pa.array([None, "a b", ""]), pa.list_(pa.string())).to_pylist() == [None, ["a", "b"], []]
+
+
+def test_lists_come_in_small_batches(large_batches):
+    queries.split_starts(large_batches, "/root/testdata/sf0.001")
+    assert int(large_batches.conf.get(ROWS)) <= text.TEXT_ROWS
