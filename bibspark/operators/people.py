@@ -42,7 +42,11 @@ def authorships(included: DataFrame, collectives: bool = False) -> DataFrame:
 
 
 def credited(keyed: DataFrame) -> DataFrame:
-    """The first record of each person in each work, with the work's number of persons."""
+    """The first record of each person in each work, with the work's number of persons.
+
+    Rows are dealt by work once, for both windows.
+    """
+    keyed = keyed.repartition("bib_id", "index")
     first = Window.partitionBy("bib_id", "index", "key").orderBy("pos")
     rows = keyed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return rows.withColumn("persons", F.count(F.lit(1)).over(Window.partitionBy("bib_id", "index")))
@@ -137,10 +141,10 @@ def warnings(included: DataFrame, collectives: bool = False) -> DataFrame:
     return rows.select("bib_id", "index", text.alias("warning"))
 
 
-def summary(included: DataFrame, persons: DataFrame) -> DataFrame:
-    """Ten counters for each bibliography, over all its resolutions."""
+def counters(included: DataFrame) -> DataFrame:
+    """The counters of each bibliography that need no people."""
     count = lambda c, name: F.count_if(c).alias(name)
-    rows = included.groupBy("bib_id").agg(
+    return included.groupBy("bib_id").agg(
         F.count(F.lit(1)).alias("input_references"),
         *(count(F.col("status") == s, f"{n}_references") for s, n in (("matched", "matched"), ("ambiguous", "ambiguous"), ("unmatched", "unmatched"), ("error", "errored"))),
         count(F.col("duplicate_of").isNotNull(), "duplicate_references"),
@@ -148,6 +152,11 @@ def summary(included: DataFrame, persons: DataFrame) -> DataFrame:
         count(F.col("has_et_al"), "et_al_references"),
         F.sum(hidden_authors(F.col("work"), F.col("has_et_al"), F.col("visible_surnames"))).cast("long").alias("hidden_authors_expanded"),
     )
+
+
+def summary(included: DataFrame, persons: DataFrame) -> DataFrame:
+    """Ten counters for each bibliography, over all its resolutions."""
+    rows = counters(included)
     ranks = persons.groupBy("bib_id").agg(F.count(F.lit(1)).alias("ranked_people"))
     return join_same(rows, ranks, ["bib_id"], "left").withColumn("ranked_people", F.coalesce("ranked_people", F.lit(0)).cast("long"))
 

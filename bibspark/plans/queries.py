@@ -20,6 +20,7 @@ from bibspark.operators.resolve import Catalogue, resolve
 from bibspark.schemas import AUTHOR, CANDIDATE, WORK, MatchConfig
 from bibspark.sources import cache as stored
 from bibspark.sources import payload, split
+from bibspark.staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,23 +101,34 @@ ppl AS (
 """
 
 
+def _status() -> Column:
+    return F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "O", "ambiguous").otherwise("unmatched")
+
+
 def derived_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """o_orderkey and its authors in order."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    id_ = F.col("s_suppkey")
-    given = F.col("l_linenumber") % 4 != 0
+    """o_orderkey and its authors in order, for orders that have a work.
+
+    Lines are gathered with what an author is made of, and made into authors afterwards.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines = lines.join(table(spark, sf_dir, "orders").where(_status() == "matched"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    rows = lines.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "s_name"))).alias("all"))
     none = F.lit(None).cast("string")
-    author = F.struct(
-        F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("Dr "), "s_name")).otherwise(F.col("s_name")).alias("display_name"),
-        none.alias("given"),
-        none.alias("family"),
-        F.when((id_ % 3 != 0) & given, F.concat(F.lit("0000-"), id_.cast("string"))).alias("orcid"),
-        F.when((id_ % 2 == 0) & given, F.concat(F.lit("A"), F.floor(id_ / 4).cast("string"))).alias("openalex_id"),
-        none.alias("provider_id"),
-        (id_ % 10 == 0).alias("is_collective"),
-    )
-    rows = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", author.alias("a")))).alias("all"))
-    return rows.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("all", lambda x: x["a"]).cast(f"array<{AUTHOR}>").alias("authors"))
+
+    def author(line: Column) -> Column:
+        id_, name, given = line["l_suppkey"], line["s_name"], line["l_linenumber"] % 4 != 0
+        return F.struct(
+            F.when(line["l_linenumber"] % 5 == 0, F.concat(F.lit("Dr "), name)).otherwise(name).alias("display_name"),
+            none.alias("given"),
+            none.alias("family"),
+            F.when((id_ % 3 != 0) & given, F.concat(F.lit("0000-"), id_.cast("string"))).alias("orcid"),
+            F.when((id_ % 2 == 0) & given, F.concat(F.lit("A"), F.floor(id_ / 4).cast("string"))).alias("openalex_id"),
+            none.alias("provider_id"),
+            (id_ % 10 == 0).alias("is_collective"),
+        )
+
+    return rows.select(F.col("l_orderkey").alias("o_orderkey"), F.transform("all", author).cast(f"array<{AUTHOR}>").alias("authors"))
 
 
 def derived_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +137,7 @@ def derived_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     key = F.concat(F.lit("w"), (F.col("o_orderkey") % 5).cast("string"))
     work = F.struct(key.alias("id"), key.alias("title"), F.coalesce("authors", F.array().cast(f"array<{AUTHOR}>")).alias("authors"), F.lit("crossref").alias("provider"), F.year("o_orderdate").alias("year"), none.alias("doi"), none.alias("venue"), none.alias("source_url")).cast(WORK)
-    status = F.when(F.col("o_orderstatus") == "F", "matched").when(F.col("o_orderstatus") == "O", "ambiguous").otherwise("unmatched")
+    status = _status()
     return orders.select(
         F.col("o_custkey").alias("bib_id"),
         F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("index"),
@@ -149,8 +161,13 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return people.include(derived_resolutions(spark, sf_dir))
 
 
-def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.people(people.credited(person_keys(people.authorships(_marked(spark, sf_dir)))))
+def _persons(spark: SparkSession, sf_dir: str, marked: DataFrame | None = None) -> DataFrame:
+    return people.people(people.credited(person_keys(people.authorships(_marked(spark, sf_dir) if marked is None else marked))))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people and summary both read of the resolutions, derived once."""
+    return staged(_marked(spark, sf_dir).select("bib_id", "index", "status", "has_et_al", "visible_surnames", "work", "work_key", "duplicate_of", "included"), "marked")
 
 
 @register(BASE + "SELECT bib_id, CAST(idx AS BIGINT) AS ref_index, status, coalesce(CAST(duplicate_of AS BIGINT), 0) AS duplicate_of, included FROM inc")
@@ -220,13 +237,14 @@ GROUP BY inc.bib_id"""
 
 @register(BASE + SUMMARY)
 def summary_counts(spark, sf_dir):
-    return people.summary(_marked(spark, sf_dir), _persons(spark, sf_dir)).select("bib_id", *output.COUNTERS)
+    marked = _stored(spark, sf_dir)
+    return people.summary(marked, _persons(spark, sf_dir, marked)).select("bib_id", *output.COUNTERS)
 
 
 @register(BASE + "SELECT ppl.bib_id, key, round(full_count / CAST(n AS DOUBLE), 6) AS share FROM ppl JOIN (SELECT bib_id, count_if(included) AS n FROM inc GROUP BY bib_id) USING (bib_id)")
 def share_of_works(spark, sf_dir):
-    persons = _persons(spark, sf_dir)
-    return people.share(persons, people.summary(_marked(spark, sf_dir), persons)).select("bib_id", "key", F.round("share", 6).alias("share"))
+    marked = _stored(spark, sf_dir)
+    return people.share(_persons(spark, sf_dir, marked), people.counters(marked)).select("bib_id", "key", F.round("share", 6).alias("share"))
 
 
 @register(BASE + "SELECT bib_id, 'Reference ' || idx || ' matched ''' || wkey || ''' but had no countable authors' AS warning FROM inc WHERE included AND NOT EXISTS (SELECT 1 FROM ships s WHERE s.bib_id = inc.bib_id AND s.idx = inc.idx)")
